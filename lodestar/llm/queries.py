@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .ngram_join import ngram_join
 from .substring import repeated_words
 
 QUERIES: dict = {}
@@ -41,3 +42,8 @@ FROM d JOIN g ON d.norm = g.norm JOIN k ON d.norm = k.norm
 @register
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents"), window=35)
+
+
+@register
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), size=4, percent=85)
