@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import stored
+from ._cluster import keep_ids, stored
 
 #: Characters that normalising deletes.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -30,8 +30,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty table gives an empty result.
 
     One shuffle carries (hash, id, length, digest), the second joins it to the groups, which are written
-    first so that a hot group's rows can be split over tasks. Texts are read again only where a group has
-    several rows.
+    first so that a hot group's rows can be split over tasks. Texts are read again where a group has several
+    rows; they are shuffled whole only if the list of such groups is too long to broadcast.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     keyed = rows.select("id", F.length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("norm")).select("id", "n", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"))
@@ -55,7 +55,7 @@ def _collided(rows: DataFrame, groups: DataFrame) -> DataFrame | None:
     text = rows.select("id", F.length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("norm"))
     text = text.withColumn("h", F.unhex(F.md5("norm")))
     # Each map task meets a text once per group: equal bytes fall together before the shuffle.
-    kinds = text.join(several.select("h"), "h", "left_semi").groupBy("h", "norm").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = keep_ids(text, several.select("h"), "h").groupBy("h", "norm").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
     bad = stored(kinds.where("kinds > 1").select("h"), "exact-bad")
     if bad.limit(1).count() == 0:
         return None
