@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .ngram_join import ngram_join
+from .packing import pack
 from .substring import repeated_words
 
 QUERIES: dict = {}
@@ -79,3 +80,14 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), tokens=1024, end=2)
