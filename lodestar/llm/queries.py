@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .ngram_join import ngram_join
 from .packing import pack
 from .substring import repeated_words
@@ -91,3 +92,8 @@ def vocabulary() -> str:
 @register
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), tokens=1024, end=2)
+
+
+@register
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
