@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .ngram_join import ngram_join
 from .packing import pack
+from .quality import quality
 from .substring import repeated_words
 
 QUERIES: dict = {}
@@ -97,3 +99,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+def held_out(id_col) -> F.Column:
+    return F.crc32(id_col.cast("string")) % 4 == 2
+
+
+@register
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out(F.col("id")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
