@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat_format import digest, format_chats
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .license_scan import license_scan
 from .ngram_join import ngram_join
 from .packing import pack
@@ -137,3 +138,8 @@ WITH c AS (
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
+
+
+@register
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
