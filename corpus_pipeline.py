@@ -1,8 +1,63 @@
 """The corpus pipeline: quality filter, line dedup, near-duplicate join, decontamination, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm._cluster import drop_ids, stored
+from lodestar.llm.decontam import decontaminate
+from lodestar.llm.line_dedup import line_dedup
+from lodestar.llm.ngram_join import ngram_join
+from lodestar.llm.packing import pack
+from lodestar.llm.quality import quality_filter
+from lodestar.llm.queries import table, vocabulary
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on all labelled ones, does not reject."""
+    return quality_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one has; those of which nothing is left go."""
+    cut = line_dedup(docs).where("n_removed = 0 OR trim(kept_text) <> ''")
+    text = F.col("kept_text")
+    return cut.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group that links of 5-word shingles at 0.8 reach."""
+    copies = ngram_join(docs, size=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
+    return drop_ids(docs, stored(copies, "pipeline-copies"), "doc_id")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark."""
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return drop_ids(docs, stored(hit, "pipeline-contaminated"), "doc_id")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, packed into sequences of at most 1024 tokens."""
+    return pack(docs, vocabulary(), tokens=1024, end=2)
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("line_dedup", drop_lines),
+    ("ngram_join", keep_first_of_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL can state neither the classifier nor the alignment nor the packing; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents after all stages; each stage's result is written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

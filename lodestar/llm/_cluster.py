@@ -44,6 +44,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, "left_semi")
 
 
+def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids (stored, distinct); null keys stay. The counterpart of keep_ids."""
+    small = ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, "left_anti")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id that links reach.
 

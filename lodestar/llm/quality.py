@@ -34,7 +34,7 @@ for _at, _chars in enumerate((b" \t\r\x0b\x0c", b"\n", b".", b",", b"!?", b"|"),
 STATS = _CLASSES - 1 + 15
 
 
-def _statistics(data: np.ndarray, w: K.Words, lines: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _statistics(data: np.ndarray, w: K.Words, at: np.ndarray) -> np.ndarray:
     """One row of statistics per document of a slice."""
     docs = len(w.counts)
     size = np.diff(at)
@@ -76,7 +76,7 @@ def _measured(batches):
         for i, j, raw, at in K.slices(text):
             w = K.word_hashes(raw, at, K.BLANKS, False)
             base = int(at[0])
-            x = _statistics(raw[base : int(at[-1])], w, None, at - base)
+            x = _statistics(raw[base : int(at[-1])], w, at - base)
             yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), K.list_array(x.astype(np.float32).ravel(), np.arange(0, (j - i + 1) * STATS, STATS), pa.float32())], names=["id", "x"])
 
 
@@ -197,3 +197,19 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, kee
 
     out = measured.mapInArrow(scored, f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, keep_at: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """Rows of docs, all columns, that score at least keep_at under a model of all labelled rows. Defined like quality."""
+    known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).where("y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
+    model = fit(statistics(docs, id_col, text_col).join(known, "id"))
+
+    def kept(batches):
+        for batch in batches:
+            text = batch.column(text_col)
+            for i, j, raw, at in K.slices(text):
+                base = int(at[0])
+                x = _statistics(raw[base : int(at[-1])], K.word_hashes(raw, at, K.BLANKS, False), at - base).astype(np.float32).astype(float)
+                yield batch.slice(i, j - i).filter(pa.array(model.score(x) >= keep_at))
+
+    return docs.mapInArrow(kept, docs.schema)

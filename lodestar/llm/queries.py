@@ -10,6 +10,7 @@ from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .license_scan import license_scan
+from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality
@@ -143,3 +144,9 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 @register
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
