@@ -31,6 +31,8 @@ CELLS = 1 << 20
 LIGHT_AT_MOST = 14
 #: Members of a list that are compared with one another in one piece; longer lists are cut into blocks.
 BLOCK = 1500
+#: Members of a list that are compared pair by pair.
+FEW = 12
 _TOP = K.U(1 << 63)
 
 
@@ -123,6 +125,13 @@ def parity_sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(sketch: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
+    return sketch
+
+
 def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     """Rows of 64-bit words folded to fewer words."""
     while sketch.shape[-1] > words:
@@ -237,6 +246,19 @@ def _apart(rule: Rule, nearest: int):
     Rows come sorted by (key, block_a, block_b); a row is in the left block, the right one, or both.
     """
 
+    def few(rows):
+        """Pairs of a short list, whose sketches are compared as whole numbers."""
+        found = []
+        for x, (ida, ca, na, da, sa) in enumerate(rows):
+            for idb, cb, nb, db, sb in rows[:x]:
+                if ca == cb or 100 * min(na, nb) < rule.percent * max(na, nb) or da + db in (2, 4) and da and db:
+                    continue
+                a, b, bits = int.from_bytes(sa, "little"), int.from_bytes(sb, "little"), 8 * min(len(sa), len(sb))
+                a, b = _folded(a, 8 * len(sa), bits), _folded(b, 8 * len(sb), bits)
+                if (a ^ b).bit_count() <= na + nb - 2 * rule.overlap(na, nb):
+                    found.append((ida, idb) if ida < idb else (idb, ida))
+        return found
+
     def pairs(rows):
         ids, comp, n, side, sketch = rows
         if len(ids) < 2 or (comp == comp[0]).all():
@@ -275,7 +297,9 @@ def _apart(rule: Rule, nearest: int):
         found: list = []
 
         def close():
-            if held:
+            if len(held) <= FEW:
+                found.extend(few(held))
+            else:
                 ids, comp, n, side, sketch = zip(*held)
                 found.extend(pairs((np.array(ids), np.array(comp), np.array(n), np.array(side), sketch)))
 
@@ -352,7 +376,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     links = linked(star, "star")
     for name, nearest in (("near", 3), ("rest", 0)):
         comp = components(links, f"join-{name}")
-        tagged = lists.select("key", "id", "n", "m").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # pairs with a list's leader are tested already
+        tagged = lists.where("m > 2 AND id <> leader").select("key", "id", "n", "m").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         tagged = stored(tagged, f"join-tagged-{name}")
         mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         mixed = stored(mixed, f"join-mixed-{name}")
