@@ -104,11 +104,11 @@ def retrieve(queries: DataFrame, docs: DataFrame, edges: DataFrame, files: DataF
         held = seed.join(members, "file_id").select("query_id", G.session_node(F.col("session_id")).alias("node")).distinct()
         start = nodes.union(held)
     reach = G.two_hops(edges, start, types, expanded).where(F.startswith("node", F.lit("file:")))
-    found = reach.select("query_id", F.substring("node", 6, 20).cast("long").alias("file_id"), "hop")
+    found = reach.select("query_id", F.expr("try_cast(substring(node, 6, 20) AS BIGINT)").alias("file_id"), "hop")
 
     out = found.join(sims.select("query_id", F.col("doc_id").alias("file_id"), "sim"), ["query_id", "file_id"], "left")
     out = out.join(seed.withColumn("seed", F.lit(True)), ["query_id", "file_id"], "left")
-    near = G.best_seed_edge(edges, nodes, types).select("query_id", F.substring("node", 6, 20).cast("long").alias("file_id"), F.col("weight").alias("near"))
+    near = G.best_seed_edge(edges, nodes, types).select("query_id", F.expr("try_cast(substring(node, 6, 20) AS BIGINT)").alias("file_id"), F.col("weight").alias("near")).where("file_id IS NOT NULL")
     out = out.join(near, ["query_id", "file_id"], "left")
     out = out.join(times, ["query_id", "file_id"], "left") if times is not None else out.withColumn("timeline", F.lit(0.0))
     out = out.join(activity_scores(queries, members, seed), ["query_id", "file_id"], "left") if members is not None else out.withColumn("activity", F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,8 +18,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """a with length 1; a zero vector stays."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    d = F.transform(a, lambda x: x.cast("double"))
+    return let(F.struct(d.alias("v"), norm(a).alias("n")), lambda s: F.when(s["n"] == 0, s["v"]).otherwise(F.transform(s["v"], lambda x: x / s["n"])))
 
 
 def checked(a: Column, dimension: int) -> Column:
@@ -62,8 +64,7 @@ def mean_pool(chunks: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def hashed_terms(text: Column, dimension: int = 384) -> Column:
-    """A unit vector of signed term counts: the embedding that needs no model."""
+    """A unit vector of term counts in hashed positions: the embedding that needs no model."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
-    spot = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
-    counts = F.aggregate(spot, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>")), lambda m, s: F.map_concat(F.map_filter(m, lambda k, v: k != s), F.create_map(s, F.coalesce(F.try_element_at(m, s), F.lit(0.0)) + 1.0)))
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0.0))))
+    spots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
+    return unit(let(spots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))))
