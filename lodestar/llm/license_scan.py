@@ -82,7 +82,7 @@ def _meetings(grams):
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, notices: dict[str, str] | None = None, spans: bool = False):
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score; with spans, also the matches.
 
-    A-Z become a-z; words are [^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+; null texts have none. n_base counts every place where a base
+    A-Z become a-z; words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; null texts have none. n_base counts every place where a base
     phrase's words stand consecutively; first_word and last_word are the least and greatest such place. labels adds
     notices of which at least COVER is there. score is 1 with a base label, else the greatest share of a notice.
     Rows that repeat an id are judged each by itself; null ids are kept; other columns are ignored; an empty table

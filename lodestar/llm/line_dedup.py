@@ -153,7 +153,7 @@ def _cut(least: int, text_col: str, names: list[str]):
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LINE_WORDS, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST) -> DataFrame:
     """docs with n_lines, n_removed and kept_text (its text without the lines deleted) added.
 
-    Lines are split at \\\\n and compared with blanks collapsed. A line is rare if at most max(rare_least, rare_share *
+    Lines are split at \\n and compared with blanks collapsed. A line is rare if at most max(rare_least, rare_share *
     rows) documents hold it. Of two documents the later is the one with the greater id; null ids come last, and rows
     that share an id are ordered by a hash of the row, equal rows being one. Only lines of `least` words or more find
     candidates or are deleted. Null texts stay null and empty ones empty; an empty table gives an empty result.

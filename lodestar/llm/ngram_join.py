@@ -152,7 +152,7 @@ def _features(size: int, frequent: np.ndarray, rule: Rule, boundary: int):
     def run(batches):
         heavy = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            ids, text = batch.columns
+            ids, rows, text = batch.columns
             for i, j, w in K.hashed(text, K.BLANKS, True):
                 h, bounds = shingles(w, size)
                 n, s1, s2, keys, sketches, at = [], [], [], [], [], [0]
@@ -166,8 +166,8 @@ def _features(size: int, frequent: np.ndarray, rule: Rule, boundary: int):
                     at.append(at[-1] + len(mine))
                     sketches.append(parity_sketch(t))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), K.list_array(K.signed(np.concatenate(keys)), np.array(at), pa.int64()), pa.array(sketches, pa.binary())],
-                    names=["id", "n", "s1", "s2", "keys", "sketch"],
+                    [ids.slice(i, j - i), rows.slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), K.list_array(K.signed(np.concatenate(keys)), np.array(at), pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["doc", "id", "n", "s1", "s2", "keys", "sketch"],
                 )
 
     return run
@@ -326,17 +326,18 @@ def _pair_batch(found):
 def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False):
     """One row per row of docs: id, n_shingles, component_id; with pairs, also the verified links found.
 
-    A-Z become a-z; words are [^\\\\x20\\\\x09-\\\\x0D]+; a set holds the distinct shingles of `size` words, or the whole
+    A-Z become a-z; words are [^\\x20\\x09-\\x0D]+; a set holds the distinct shingles of `size` words, or the whole
     sequence if there are fewer words. Sets link when 100 * intersection >= percent * union. component_id is the
     smallest id that links reach. Null and empty texts have no set and are their own component. Rows with
-    equal sets are linked. Ids are integers; a null id gives a null component, and such rows join no group.
-    Rows that repeat an id count as one document each, with the same component if their sets link, else the least component of the id's rows.
+    equal sets are linked. Ids are integers; a row with a null id gets a null component and joins no group.
+    Rows that repeat an id are documents of their own.
     An empty table gives an empty result; other columns of docs are ignored.
 
     The links returned connect the components; pairs inside a component that follow from others are not all listed.
     """
     rule = Rule(percent)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    # a row is known by a hash of its id and text; equal rows are one and share their set
+    rows = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(docs[id_col].cast("long"), docs[text_col]).alias("id"), docs[text_col].alias("text"))
     frequent = frequent_cells(rows, size)
     # light sets have few words: their sizes follow from a cheap bound, so the histogram is at most LIGHT_AT_MOST rows
     short = rows.where(F.length("text") <= 400).select(F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")).alias("w")).where(F.col("w").between(1, LIGHT_AT_MOST + size)).groupBy("w").count().collect()
@@ -346,13 +347,13 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         sizes[n] = sizes.get(n, 0) + r["count"]
     boundary = choose_boundary(sizes, rule, list_length=4.0)
 
-    features = stored(rows.mapInArrow(_features(size, frequent, rule, boundary), "id long, n long, s1 long, s2 long, keys array<long>, sketch binary"), "join-features")
-    named = features.where("n > 0 AND id IS NOT NULL")
-    classes = stored(named.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "join-classes")
-    member = named.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("id", "rep")
+    features = stored(rows.mapInArrow(_features(size, frequent, rule, boundary), "doc long, id long, n long, s1 long, s2 long, keys array<long>, sketch binary"), "join-features")
+    named = features.where("n > 0 AND doc IS NOT NULL")
+    first = F.min(F.struct("doc", "id"))
+    classes = stored(named.groupBy("s1", "s2", "n").agg(first["doc"].alias("least"), first["id"].alias("rep")), "join-classes")
 
     reps = classes.select(F.col("rep").alias("id"), "s1", "s2", "n")
-    own = named.join(reps, ["id", "s1", "s2", "n"], "left_semi").select("id", "n", "keys", "sketch").dropDuplicates(["id", "n"])
+    own = named.join(reps, ["id", "s1", "s2", "n"], "left_semi").select("id", "n", "keys", "sketch").dropDuplicates(["id"])
     postings = own.select("id", "n", F.explode("keys").alias("key")).repartition("key")
     lists = postings.withColumn("m", F.expr("count(1) OVER (PARTITION BY key)")).where("m > 1")
     lists = lists.withColumn("leader", F.expr("min(struct(n, id)) OVER (PARTITION BY key)").getField("id"))
@@ -367,7 +368,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         sifted = candidates.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
         sifted = stored(sifted.mapInArrow(_sifted(rule), "a long, b long"), f"join-sifted-{name}")
         ids = stored(sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct(), f"join-ids-{name}")
-        sets = keep_ids(rows, ids, "id").join(reps.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(size, frequent), "id long, tokens binary").dropDuplicates(["id"])
+        sets = keep_ids(rows.select("id", "text"), ids, "id").mapInArrow(_sets(size, frequent), "id long, tokens binary").dropDuplicates(["id"])
         sets = stored(sets, f"join-sets-{name}")
         both = sifted.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return stored(both.mapInArrow(_verified(rule), "a long, b long"), f"join-links-{name}")
@@ -387,13 +388,20 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         if more.limit(1).count() == 0:
             break
         links = stored(links.union(more).distinct(), f"join-all-{name}")
-    comp = components(links, "join-last")
-    # a component's id is the least document of all its classes; a representative is the least of its class
-    out = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
-    out = out.groupBy("id").agg(F.min("component_id").alias("component_id"))
-    result = features.select("id", F.col("n").alias("n_shingles")).join(out, "id", "left")
-    result = result.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return (result, links) if pairs else result
+    comp = components(links, "join-last").withColumnRenamed("id", "rep")
+    # links join rows; a component is named by the least id of its classes
+    reached = classes.join(comp, "rep", "left").select("s1", "s2", "n", "least", F.coalesce("component", "rep").alias("component"))
+    reached = stored(reached, "join-reached")
+    least = stored(reached.groupBy("component").agg(F.min("least").alias("component_id")), "join-least")
+    reached = stored(reached.join(least, "component").select("s1", "s2", "n", "component_id"), "join-named")
+    result = features.select("doc", "n", "s1", "s2").join(reached, ["s1", "s2", "n"], "left")
+    component = F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component_id"))).otherwise(F.col("doc"))
+    result = result.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    if not pairs:
+        return result
+    ids = classes.select("rep", "least")
+    named_links = links.join(ids.toDF("a", "first"), "a").join(ids.toDF("b", "second"), "b")
+    return result, named_links.select(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
