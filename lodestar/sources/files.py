@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import glob_regex
 from ..operators.store import describe_paths, needs_hash, snapshot_diff
@@ -37,7 +38,7 @@ def content_hash(content: Column) -> Column:
     return F.md5(content)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def xxh3(content: pd.Series) -> pd.Series:
     import xxhash
 
