@@ -50,6 +50,14 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, "left_anti")
 
 
+def sized(df: DataFrame, items: str | None = None) -> DataFrame:
+    """df (stored) with a broadcast hint if it has at most SMALL_ROWS rows, and at most ten times as many entries in
+    the array `items`; else it is joined by a shuffle."""
+    count = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(items)), F.lit(0)) if items else F.lit(0)).first()
+    small = count[0] <= SMALL_ROWS and count[1] <= 10 * SMALL_ROWS
+    return F.broadcast(df) if small else df.hint("shuffle_merge")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id that links reach.
 

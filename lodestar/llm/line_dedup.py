@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._cluster import drop_ids, keep_ids, stored
+from ._cluster import drop_ids, keep_ids, sized, stored
 
 #: A line is rare if at most this share of documents, or RARE_LEAST documents, hold it.
 RARE_SHARE = 0.01
@@ -168,7 +168,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = index.select("key", F.explode("lines").alias("line"))
     most = max(rare_least, int(rare_share * index.count()))
     rare = stored(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where(F.col("n").between(2, most)).select("line", "first"), "line-rare")
-    pairs = stored(lines.join(rare, "line").where("key <> first").select(F.col("key").alias("later"), "first").distinct(), "line-pairs")
+    pairs = stored(lines.join(sized(rare), "line").where("key <> first").select(F.col("key").alias("later"), "first").distinct(), "line-pairs")
     held = stored(pairs.select(F.col("later.h").alias("h")).union(pairs.select("first.h")).distinct(), "line-held")
     sets = keep_ids(rows.select("key", "text", F.col("key.h").alias("h")), held, "h").select("key", "text").mapInArrow(_sets, f"{schema}, hashes binary").dropDuplicates(["key"])
     sets = stored(sets, "line-sets")
@@ -177,7 +177,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(found.select(F.col("later.h").alias("row_key"), F.col("places")).where(F.size("places") > 0), "line-found")
     keyed = docs.withColumn("row_key", F.xxhash64(ident, text))
     listed = found.select("row_key")
-    changed = keep_ids(keyed, listed, "row_key").join(found, "row_key").drop("row_key")
+    changed = keep_ids(keyed, listed, "row_key").join(sized(found, "places"), "row_key").drop("row_key")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     changed = changed.mapInArrow(_cut(least, text_col, docs.columns), schema)
     same = drop_ids(keyed, listed, "row_key").drop("row_key")
