@@ -39,10 +39,9 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _ranked(self):
-        try:
-            import tiktoken
-        except ImportError:
-            return None
+        """An encoder from the vocabulary's merge ranks; None where it would give other ids."""
+        import tiktoken
+
         to_byte = _byte_of_char()
         try:
             ranks = {bytes(to_byte[c] for c in t): i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t not in self.special}
