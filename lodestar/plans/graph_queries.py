@@ -21,14 +21,15 @@ from .tables import ENTITIES, FILES, MENTIONS, VECTORS, entities, files, mention
 #: No pair of the test vectors reaches the default threshold.
 NEAR = 0.30
 NOW = dt.date(2025, 3, 1)
-_Q = f"{VECTORS}, q AS (SELECT vec_id AS query_id, v FROM vectors WHERE vec_id < 20)"
+_Q = f"{VECTORS}, q AS (SELECT vec_id AS query_id, v FROM vectors WHERE vec_id % 50 = 0)"
 _SIM = f"{_Q}, sims AS (SELECT query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) AS sim FROM q, vectors d)"
 _EDGE = f"""{VECTORS}, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS sim FROM vectors a, vectors b WHERE a.vec_id <> b.vec_id),
   near AS (SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS nth FROM pairs WHERE sim >= {NEAR}) WHERE nth <= 8 AND a < b)"""
 
 
-def _queries(spark, sf_dir, n=20):
-    return vectors(spark, sf_dir).where(F.col("doc_id") < n).select(F.col("doc_id").alias("query_id"), "v")
+def _queries(spark, sf_dir):
+    """The stated query set: every vector whose id is divisible by 50."""
+    return vectors(spark, sf_dir).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "v")
 
 
 @query(f"WITH {_SIM} SELECT query_id, doc_id, round(sim, 5) AS sim, CAST(nth AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS nth FROM sims) WHERE nth <= 10")
@@ -70,10 +71,10 @@ def same_folder_edges(spark, sf_dir):
     return G.same_folder(files(spark, sf_dir)).select("a", "b", F.round("weight", 5).alias("weight"))
 
 
-@query(f"""WITH {FILES}, f AS (SELECT file_id, folder, regexp_extract(folder, '^(.*)/[^/]*$', 1) AS parent FROM files WHERE file_id % 5 = 0)
+@query(f"""WITH {FILES}, f AS (SELECT file_id, folder, regexp_extract(folder, '^(.*)/[^/]*$', 1) AS parent FROM files)
   SELECT least(a.file_id, b.file_id) AS a, greatest(a.file_id, b.file_id) AS b, 0.25 AS weight FROM f a JOIN f b ON a.parent = b.parent AND a.folder < b.folder WHERE a.parent <> ''""")
 def sibling_edges(spark, sf_dir):
-    return G.sibling_folders(files(spark, sf_dir).where("file_id % 5 = 0")).select("a", "b", F.round("weight", 5).alias("weight"))
+    return G.sibling_folders(files(spark, sf_dir)).select("a", "b", F.round("weight", 5).alias("weight"))
 
 
 @query(f"""WITH {ENTITIES}, p AS (SELECT DISTINCT normalised AS key, file_id FROM entities), n AS (SELECT count(DISTINCT file_id) AS n FROM p),
@@ -157,7 +158,7 @@ def shortest_path(spark, sf_dir):
     return G.shortest_paths(_edges(spark, sf_dir), source, hops=4).select("node", "hops")
 
 
-_SEED = f"""{_BOTH}, q AS (SELECT vec_id AS query_id, v FROM vectors WHERE vec_id < 20), sims AS (SELECT query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) AS sim FROM q, vectors d),
+_SEED = f"""{_BOTH}, q AS (SELECT vec_id AS query_id, v FROM vectors WHERE vec_id % 50 = 0), sims AS (SELECT query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) AS sim FROM q, vectors d),
   seeds AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS nth FROM sims WHERE sim > 0) WHERE nth <= 5),
   h0 AS (SELECT query_id, 'file:' || doc_id AS node FROM seeds), h1 AS (SELECT query_id, dst AS node, max(weight) AS w FROM h0 JOIN edges ON src = node GROUP BY 1, 2),
   h1n AS (SELECT * FROM h1 WHERE (query_id, node) NOT IN (SELECT query_id, node FROM h0)), h2 AS (SELECT query_id, dst AS node, max(weight) AS w FROM h1n JOIN edges ON src = node GROUP BY 1, 2),
@@ -195,8 +196,8 @@ def hybrid_retrieval(spark, sf_dir):
 
 def _context(spark, sf_dir):
     q = _queries(spark, sf_dir)
-    odd = F.col("query_id") % 2 == 1
-    q = q.withColumns({"range_start": F.when(odd, F.lit("2024-02-01").cast("date")), "range_end": F.when(odd, F.lit("2024-03-31").cast("date")), "cue": F.when(F.col("query_id") % 3 == 0, 1.0).otherwise(0.0), "formats": F.when(F.col("query_id") % 5 == 0, F.array(F.lit(".md"))), "query_norm": F.col("query_id").cast("string")})
+    odd = F.col("query_id") % 100 == 50
+    q = q.withColumns({"range_start": F.when(odd, F.lit("2024-02-01").cast("date")), "range_end": F.when(odd, F.lit("2024-03-31").cast("date")), "cue": F.when(F.col("query_id") % 3 == 0, 1.0).otherwise(0.0), "formats": F.when(F.col("query_id") % 250 == 0, F.array(F.lit(".md"))), "query_norm": F.col("query_id").cast("string")})
     d = vectors(spark, sf_dir)
     f = d.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("f/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")).alias("path"))
     t = d.select(F.col("doc_id").alias("file_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")).alias("day"), ((F.col("doc_id") % 7 + 3) / 10.0).alias("score"))
@@ -215,7 +216,7 @@ def hybrid_full(spark, sf_dir):
     return out.select("query_id", "file_id", "rank", F.round("score", 5).alias("score"), "dominant", F.size("reasons").alias("reasons"), "complete")
 
 
-@query(f"""WITH {_Q}, c AS (SELECT query_id, query_id % 2 = 1 AS dated, query_id % 3 = 0 AS cued FROM q), t AS (SELECT *, 0.65 + CASE WHEN cued THEN 0.20 ELSE 0 END + CASE WHEN dated THEN 0.15 ELSE 0 END AS total FROM c)
+@query(f"""WITH {_Q}, c AS (SELECT query_id, query_id % 100 = 50 AS dated, query_id % 3 = 0 AS cued FROM q), t AS (SELECT *, 0.65 + CASE WHEN cued THEN 0.20 ELSE 0 END + CASE WHEN dated THEN 0.15 ELSE 0 END AS total FROM c)
   SELECT query_id, round(0.45 / total, 5) AS semantic, round(0.20 / total, 5) AS graph, round(CASE WHEN cued THEN 0.20 ELSE 0 END / total, 5) AS activity, round(CASE WHEN dated THEN 0.15 ELSE 0 END / total, 5) AS timeline FROM t""")
 def adaptive_weights(spark, sf_dir):
     q = _context(spark, sf_dir)[0]
@@ -224,7 +225,7 @@ def adaptive_weights(spark, sf_dir):
 
 
 @query(f"""WITH {_Q}, t AS (SELECT vec_id AS file_id, DATE '2024-01-01' + CAST(vec_id % 366 AS INTEGER) AS day, (vec_id % 7 + 3) / 10.0 AS score FROM vectors)
-  SELECT query_id, file_id, round(least(1.0, max(score)), 5) AS timeline FROM q JOIN t ON query_id % 2 = 1 AND day BETWEEN DATE '2024-02-01' AND DATE '2024-03-31' GROUP BY 1, 2""")
+  SELECT query_id, file_id, round(least(1.0, max(score)), 5) AS timeline FROM q JOIN t ON query_id % 100 = 50 AND day BETWEEN DATE '2024-02-01' AND DATE '2024-03-31' GROUP BY 1, 2""")
 def timeline_score(spark, sf_dir):
     q, _, _, t, _, _ = _context(spark, sf_dir)
     return R.timeline_scores(q, t).select("query_id", "file_id", F.round("timeline", 5).alias("timeline"))
@@ -239,10 +240,10 @@ def activity_score(spark, sf_dir):
     return R.activity_scores(q, m, seeds).select("query_id", "file_id", F.round("activity", 5).alias("activity"))
 
 
-@query("""WITH b AS (SELECT item_id AS query_id, 'customer#' || lpad(CAST(item_id + 1 AS VARCHAR), 9, '0') AS name, CASE WHEN item_id % 2 = 0 THEN 'customer#00000' || CAST(item_id AS VARCHAR) ELSE 'cust' END AS part FROM benchmark WHERE item_id < 12),
+@query("""WITH b AS (SELECT item_id AS query_id, 'customer#' || lpad(CAST(item_id + 1 AS VARCHAR), 9, '0') AS name, CASE WHEN item_id % 2 = 0 THEN 'customer#00000' || CAST(item_id AS VARCHAR) ELSE 'cust' END AS part FROM benchmark),
   q AS (SELECT query_id, name AS q FROM b UNION ALL SELECT query_id, part FROM b WHERE query_id % 2 = 0) SELECT DISTINCT query_id, c_custkey AS file_id FROM q JOIN customer ON lower(c_name) = q OR (length(q) > 3 AND contains(lower(c_name), q))""")
 def entity_seeds(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where("item_id < 12")
+    b = table(spark, sf_dir, "benchmark")
     name = F.concat(F.lit("Customer#"), F.lpad((F.col("item_id") + 1).cast("string"), 9, "0"))
     q = b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.array(name, F.concat(F.lit("customer#00000"), F.col("item_id").cast("string")))).otherwise(F.array(name)).alias("entities"))
     return R.entity_seeds(q, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"), F.col("c_name").alias("normalised")))
@@ -270,15 +271,15 @@ def session_islands(spark, sf_dir):
 
 
 @query("""SELECT a.event_id AS a, b.event_id AS b, round(0.40 / 0.70 * greatest(0.0, 1 - abs(epoch_us(a.ts) - epoch_us(b.ts)) / 3600000000.0 / 240.0) + 0.20 / 0.70 * CASE WHEN a.event_type = b.event_type THEN 1.0 ELSE 0.0 END
-    + 0.10 / 0.70 * CASE WHEN a.user_id % 3 = b.user_id % 3 THEN 1.0 ELSE 0.5 / 1.5 END, 5) AS affinity FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.user_id < 40""")
+    + 0.10 / 0.70 * CASE WHEN a.user_id % 3 = b.user_id % 3 THEN 1.0 ELSE 0.5 / 1.5 END, 5) AS affinity FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id""")
 def pair_affinity(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 40").select("event_id", "user_id", F.col("ts").alias("time"), F.array("event_type").alias("entities"), F.concat(F.lit("x/"), (F.col("user_id") % 3).cast("string")).alias("folder"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("time"), F.array("event_type").alias("entities"), F.concat(F.lit("x/"), (F.col("user_id") % 3).cast("string")).alias("folder"))
     a, b = (e.select("user_id", F.col("event_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("time", "entities", "folder")]) for x in "ab")
     return S.pair_affinity(a.join(b, "user_id").where("a < b")).select("a", "b", F.round("affinity", 5).alias("affinity"))
 
 
 def _clusters(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 40")
+    e = table(spark, sf_dir, "events")
     rows = S.islands(e, "ts", 24, ["user_id"], "event_id").select((F.col("user_id") * 100_000 + F.col("island")).cast("long").alias("island"), F.col("event_id").alias("file_id"), F.col("ts").alias("mtime"), F.concat(F.lit("x/"), "event_type").alias("folder"), F.array("event_type").alias("entities"))
     return S.cluster(rows, 24.0, 0.5), rows
 
@@ -396,8 +397,7 @@ def tree_ancestors(spark, sf_dir):
 
 @query()
 def tree_pooled(spark, sf_dir):
-    d = vectors(spark, sf_dir).where("doc_id < 200")
-    f = files(spark, sf_dir).where("file_id < 200")
+    d, f = vectors(spark, sf_dir), files(spark, sf_dir)
     return tree.pooled(tree.nodes(f), d.select(F.col("doc_id").alias("file_id"), "v")).select("node_id", F.round(V.norm(F.col("v")), 5).alias("norm"))
 
 
@@ -457,7 +457,7 @@ _TRUTH = f"""{_SIM}, r AS (SELECT * FROM (SELECT query_id, doc_id, row_number()
 
 def _outcomes(spark, sf_dir):
     d = vectors(spark, sf_dir)
-    own = d.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), "label")
+    own = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "label")
     truth = own.join(d.select("doc_id", "label"), "label").select("query_id", "doc_id", (F.col("doc_id") % 3 == 0).alias("target"))
     return M.per_query(R.baseline(_queries(spark, sf_dir), d), truth)
 
@@ -472,9 +472,9 @@ def mean_metrics(spark, sf_dir):
     return M.summary(_outcomes(spark, sf_dir)).select("queries", F.round("mrr", 5).alias("mrr"), F.round("hit_at_1", 5).alias("hit_at_1"), F.round("p_at_1", 5).alias("p_at_1"))
 
 
-@query(f"WITH {_TRUTH}, k AS (SELECT *, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, CASE WHEN query_id < 7 THEN 'easy' ELSE 'hard' END AS difficulty FROM o) SELECT kind, difficulty, count(*) AS queries, round(avg(rr), 5) AS mrr FROM k GROUP BY GROUPING SETS ((kind), (difficulty), ())")
+@query(f"WITH {_TRUTH}, k AS (SELECT *, CASE WHEN query_id % 100 = 0 THEN 'even' ELSE 'odd' END AS kind, CASE WHEN query_id < 200 THEN 'easy' ELSE 'hard' END AS difficulty FROM o) SELECT kind, difficulty, count(*) AS queries, round(avg(rr), 5) AS mrr FROM k GROUP BY GROUPING SETS ((kind), (difficulty), ())")
 def metrics_by_kind(spark, sf_dir):
-    o = _outcomes(spark, sf_dir).withColumns({"kind": F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"), "difficulty": F.when(F.col("query_id") < 7, "easy").otherwise("hard")})
+    o = _outcomes(spark, sf_dir).withColumns({"kind": F.when(F.col("query_id") % 100 == 0, "even").otherwise("odd"), "difficulty": F.when(F.col("query_id") < 200, "easy").otherwise("hard")})
     return M.by_sets(o).select("kind", "difficulty", "queries", F.round("mrr", 5).alias("mrr"))
 
 

@@ -37,10 +37,10 @@ files AS (
 """
 #: Entity postings: parts of orders, with the return flag as category.
 ENTITIES = "entities AS (SELECT l_orderkey AS file_id, CAST(l_partkey AS VARCHAR) AS normalised, l_returnflag AS category FROM lineitem)"
-#: Date mentions: ship dates of orders, thinned so that few orders share a day, with the order date as the file's time.
+#: Date mentions: ship dates of orders, with the order date as the file's time. A day at a supplier is what recurs, as every day alone is common.
 MENTIONS = """
 mentions AS (
-  SELECT l_orderkey AS file_id, l_linenumber AS start, CAST(l_shipdate AS DATE) AS iso_date, CAST(o_orderdate AS DATE) AS mtime, l_returnflag = 'A' AS in_tabular,
+  SELECT l_orderkey AS file_id, l_linenumber AS start, l_suppkey AS place, CAST(l_shipdate AS DATE) AS iso_date, CAST(o_orderdate AS DATE) AS mtime, l_returnflag = 'A' AS in_tabular,
     CASE WHEN l_linestatus = 'O' AND l_linenumber = 1 THEN 'year' ELSE 'day' END AS precision
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )
@@ -69,7 +69,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")  # noqa: E741
     rows = l.join(o, l.l_orderkey == o.o_orderkey)
     return rows.select(
-        F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("start"), F.col("l_shipdate").cast("date").alias("iso_date"), F.col("o_orderdate").cast("date").alias("mtime"),
+        F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("start"), F.col("l_suppkey").alias("place"), F.col("l_shipdate").cast("date").alias("iso_date"), F.col("o_orderdate").cast("date").alias("mtime"),
         (F.col("l_returnflag") == "A").alias("in_tabular"), F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 1), "year").otherwise("day").alias("precision"),
     )
 

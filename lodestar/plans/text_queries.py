@@ -131,22 +131,25 @@ def metadata_signal(spark, sf_dir):
     return mentions(spark, sf_dir).select("file_id", "start", F.round(D.metadata_signal(F.col("iso_date"), F.col("mtime")), 5).alias("signal"))
 
 
-_THIN = "thin AS (SELECT CAST(l_shipdate AS DATE) AS iso_date, count(DISTINCT l_orderkey) AS files FROM lineitem WHERE l_partkey % 97 = 0 GROUP BY 1)"
+_THIN = "thin AS (SELECT CAST(l_shipdate AS DATE) AS iso_date, l_suppkey AS place, count(DISTINCT l_orderkey) AS files FROM lineitem GROUP BY 1, 2)"
 
 
-@query(f"WITH {_THIN} SELECT iso_date, files, round(CASE WHEN files <= 1 THEN 0.5 ELSE 0.5 + 0.5 * least(1.0, (files - 1) / 3.0) END, 5) AS signal FROM thin")
+def _recurrence(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.groupBy(F.col("l_shipdate").cast("date").alias("iso_date"), F.col("l_suppkey").alias("place")).agg(F.countDistinct("l_orderkey").alias("files"))
+
+
+@query(f"WITH {_THIN} SELECT iso_date, place, files, round(CASE WHEN files <= 1 THEN 0.5 ELSE 0.5 + 0.5 * least(1.0, (files - 1) / 3.0) END, 5) AS signal FROM thin")
 def crossfile_signal(spark, sf_dir):
-    thin = table(spark, sf_dir, "lineitem").where("l_partkey % 97 = 0").groupBy(F.col("l_shipdate").cast("date").alias("iso_date")).agg(F.countDistinct("l_orderkey").alias("files"))
-    return thin.select("iso_date", "files", F.round(D.crossfile_signal(F.col("files")), 5).alias("signal"))
+    return _recurrence(spark, sf_dir).select("iso_date", "place", "files", F.round(D.crossfile_signal(F.col("files")), 5).alias("signal"))
 
 
 @query(f"""WITH {MENTIONS}, {_THIN}, s AS (SELECT m.*, CASE WHEN in_tabular THEN 1.0 ELSE 0.5 END AS st, CASE WHEN m.iso_date >= mtime THEN exp(-(m.iso_date - mtime) / 60.0) ELSE exp((m.iso_date - mtime) / 30.0) END AS md,
-  CASE WHEN coalesce(files, 1) <= 1 THEN 0.5 ELSE 0.5 + 0.5 * least(1.0, (files - 1) / 3.0) END AS cf FROM mentions m LEFT JOIN thin ON m.iso_date = thin.iso_date),
+  CASE WHEN coalesce(files, 1) <= 1 THEN 0.5 ELSE 0.5 + 0.5 * least(1.0, (files - 1) / 3.0) END AS cf FROM mentions m LEFT JOIN thin ON m.iso_date = thin.iso_date AND m.place = thin.place),
   v AS (SELECT *, least(1.0, (0.40 * 0.5 + 0.25 * st + 0.20 * md + 0.15 * cf) * CASE WHEN precision = 'year' THEN 0.35 ELSE 1 END) AS score FROM s)
   SELECT file_id, iso_date, start, round(score, 5) AS score, round(score, 7) >= 0.55 AS is_meaningful FROM (SELECT *, row_number() OVER (PARTITION BY file_id, iso_date ORDER BY round(score, 9) DESC, start) AS nth FROM v) WHERE nth = 1""")
 def date_verdict(spark, sf_dir):
-    thin = table(spark, sf_dir, "lineitem").where("l_partkey % 97 = 0").groupBy(F.col("l_shipdate").cast("date").alias("iso_date")).agg(F.countDistinct("l_orderkey").alias("files"))
-    m = mentions(spark, sf_dir).join(thin, "iso_date", "left")
+    m = mentions(spark, sf_dir).join(_recurrence(spark, sf_dir), ["iso_date", "place"], "left")
     score = D.combine(F.lit(0.5), D.structured_signal(F.col("in_tabular")), D.metadata_signal(F.col("iso_date"), F.col("mtime")), D.crossfile_signal(F.col("files")), F.col("precision"))
     best = D.best_per_day(m.withColumn("raw", score).withColumn("score", F.round("raw", 9)))
     return best.select("file_id", "iso_date", "start", F.round("raw", 5).alias("score"), (F.round("raw", 7) >= 0.55).alias("is_meaningful"))
