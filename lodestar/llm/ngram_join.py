@@ -30,7 +30,7 @@ CELLS = 1 << 20
 #: No set of more shingles than this is ever light.
 LIGHT_AT_MOST = 14
 #: Members of a list that are compared with one another in one piece; longer lists are cut into blocks.
-BLOCK = 1500
+BLOCK = 800
 #: Members of a list that are compared pair by pair.
 FEW = 12
 _TOP = K.U(1 << 63)
