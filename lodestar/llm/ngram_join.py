@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._cluster import components, keep_ids, stored
+from ._cluster import components, keep_ids, sized, stored
 
 #: Cells of the shingle sketch.
 CELLS = 1 << 20
@@ -370,7 +370,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         ids = stored(sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct(), f"join-ids-{name}")
         sets = keep_ids(rows.select("id", "text"), ids, "id").mapInArrow(_sets(size, frequent), "id long, tokens binary").dropDuplicates(["id"])
         sets = stored(sets, f"join-sets-{name}")
-        both = sifted.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        both = sets.toDF("a", "ta").join(sized(sifted), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return stored(both.mapInArrow(_verified(rule), "a long, b long"), f"join-links-{name}")
 
     star = lists.where("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
