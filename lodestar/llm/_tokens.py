@@ -7,7 +7,7 @@ import struct
 from functools import cache
 
 #: Entries that a worker's word cache holds at most; a full cache is emptied.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: A space next to other white space: such texts are encoded whole, as words there depend on their neighbours.
 _UNEVEN = re.compile(r" \s|\s ")
 #: The pattern by which this kind of vocabulary cuts a text before merging.
@@ -63,19 +63,23 @@ class Encoder:
         if self.ranked is None or any(s in text for s in self.special) or _UNEVEN.search(text):
             return self._ids(text)
         first, *parts = text.split(" ")
-        known = self.cache
-        for p in set(parts).difference(known):
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-                return self._ids(text)
-            if len(p) <= 48:
-                known[p] = self._ids(" " + p)
-        get = known.get
+        get = self.cache.get
         ids = [get(p) for p in parts]
         if None in ids:
-            ids = [x if x is not None else self._ids(" " + p) for x, p in zip(ids, parts)]
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i] = get(parts[i]) or self._word(parts[i])
         return (self._ids(first) if first else b"") + b"".join(ids)
 
+    def _word(self, part: str) -> bytes:
+        got = self.ranked(" " + part)
+        ids = struct.pack(f"<{len(got)}I", *got)
+        if len(part) <= 48:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            self.cache[part] = ids
+        return ids
+
 
 @cache
 def encoder(path: str) -> Encoder:
