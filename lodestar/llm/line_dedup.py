@@ -1,13 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line (by hash) are candidates; each rare line pairs its later holders with its first,
-so a line held by n documents gives n - 1 pairs. A pair's lines are aligned by patience diff: lines that are unique
-in both are anchors, the longest rising chain of anchors is kept and extended over equal neighbours, and the gaps are
-aligned likewise. Common blocks of an alignment are deleted from the later document.
+Documents of equal lines form a class, whose first one stands for it; of the others every line is deleted. Documents
+that share a line (by hash) are candidates; each line pairs its later holders with its first, so a line held by n
+documents gives n - 1 pairs. A pair's lines are aligned by patience diff: lines that are unique in both are anchors,
+the longest rising chain of anchors is kept and extended over equal neighbours, and the gaps are aligned likewise.
+Common blocks of an alignment are deleted from the later document. Rarity only says how a pair is joined: the first
+holders of frequent lines are few and are broadcast, so that no task meets all holders of a line.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 
 import numpy as np
@@ -17,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._cluster import drop_ids, keep_ids, sized, stored
+from ._cluster import SMALL_ROWS, drop_ids, keep_ids, sized, stored
 
-#: A line is rare if at most this share of documents, or RARE_LEAST documents, hold it.
+#: A line is rare if at most this share of documents, or RARE_LEAST documents, hold it; others are joined another way.
 RARE_SHARE = 0.01
 RARE_LEAST = 50
 #: Words that a line must have to find candidates or to be deleted; shorter lines are no evidence of copying.
@@ -42,10 +45,9 @@ def _hashes(texts: list[bytes]) -> np.ndarray:
     return K.mix((total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(K.U))
 
 
-def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every line (blanks between words count as one), and whether it has enough words."""
-    _, plain = _lines(text)
-    return _hashes(plain), np.array([p.count(b" ") + 1 >= least if p else False for p in plain])
+def enough_words(plain: list[bytes], least: int) -> np.ndarray:
+    """Whether each line has at least so many words."""
+    return np.array([p.count(b" ") + 1 >= least if p else False for p in plain])
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,13 +108,14 @@ def _index(least: int):
         for batch in batches:
             rows, text = batch.columns
             for i, j, _, _ in K.slices(text):
-                at, hashes, lines = [], [], [0]
-                for d, t in enumerate(text.slice(i, j - i).to_pylist()):
-                    h, enough = line_hashes(t or "", least)
-                    mine = np.unique(h[enough])
+                same, hashes, lines = [], [], [0]
+                for t in text.slice(i, j - i).to_pylist():
+                    _, plain = _lines(t or "")
+                    mine = np.unique(_hashes(plain)[enough_words(plain, least)])
+                    same.append(hashlib.md5(b"\n".join(plain)).digest() if any(plain) else None)
                     hashes.append(mine)
                     lines.append(lines[-1] + len(mine))
-                yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), K.list_array(K.signed(np.concatenate(hashes)), np.array(lines), pa.int64())], names=["key", "lines"])
+                yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), pa.array(same, pa.binary()), K.list_array(K.signed(np.concatenate(hashes)), np.array(lines), pa.int64())], names=["key", "same", "lines"])
 
     return run
 
@@ -120,7 +123,7 @@ def _index(least: int):
 def _sets(batches):
     for batch in batches:
         keys, text = batch.columns
-        out = [line_hashes(t or "", 1)[0].tobytes() for t in text.to_pylist()]
+        out = [_hashes(_lines(t or "")[1]).tobytes() for t in text.to_pylist()]
         yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.binary())], names=["key", "hashes"])
 
 
@@ -138,9 +141,9 @@ def _cut(least: int, text_col: str, names: list[str]):
     def run(batches):
         for batch in batches:
             total, gone, kept = [], [], []
-            for t, p in zip(batch.column(text_col).to_pylist(), batch.column("places").to_pylist()):
+            for t, p, whole in zip(batch.column(text_col).to_pylist(), batch.column("places").to_pylist(), batch.column("whole").to_pylist()):
                 lines, plain = _lines(t or "")
-                drop = {k for k in p or () if k < len(lines) and plain[k] and plain[k].count(b" ") + 1 >= least}
+                drop = {k for k in (range(len(lines)) if whole else p) if k < len(lines) and plain[k] and plain[k].count(b" ") + 1 >= least}
                 total.append(len(lines) if t else 0)
                 gone.append(len(drop))
                 kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else t)
@@ -154,27 +157,36 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with n_lines, n_removed and kept_text (its text without the lines deleted) added.
 
     Lines are split at \\n and compared with blanks collapsed. A line is rare if at most max(rare_least, rare_share *
-    rows) documents hold it. Of two documents the later is the one with the greater id; null ids come last, and rows
+    rows) documents hold it; this chooses the join and not the result. Of two documents the later is the one with the greater id; null ids come last, and rows
     that share an id are ordered by a hash of the row, equal rows being one. Only lines of `least` words or more find
     candidates or are deleted. Null texts stay null and empty ones empty; an empty table gives an empty result.
-    Columns
-    named like the three added, row_key or places are dropped; all others stay.
+    Columns named like the three added, row_key, places or whole are dropped; all others stay.
     """
-    docs = docs.drop("n_lines", "n_removed", "kept_text", "row_key", "places")
+    docs = docs.drop("n_lines", "n_removed", "kept_text", "row_key", "places", "whole")
     ident, text = docs[id_col], docs[text_col]
     rows = docs.select(F.struct(ident.isNull().alias("none"), ident.cast("long").alias("id"), F.xxhash64(ident, text).alias("h")).alias("key"), text.alias("text"))
     schema = "key struct<none:boolean,id:long,h:long>"
-    index = stored(rows.where("text <> ''").mapInArrow(_index(least), f"{schema}, lines array<long>"), "line-index")
-    lines = index.select("key", F.explode("lines").alias("line"))
+    index = stored(rows.where("text <> ''").mapInArrow(_index(least), f"{schema}, same binary, lines array<long>"), "line-index")
+    classes = index.where("same IS NOT NULL").groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+    classes = stored(classes.where("n > 1").select("same", "first"), "line-classes")
+    copies = stored(index.join(sized(classes), "same").where("key <> first").select("key").distinct(), "line-copies")
+    lines = drop_ids(index, copies, "key").select("key", F.explode("lines").alias("line"))
     most = max(rare_least, int(rare_share * index.count()))
-    rare = stored(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where(F.col("n").between(2, most)).select("line", "first"), "line-rare")
-    pairs = stored(lines.join(sized(rare), "line").where("key <> first").select(F.col("key").alias("later"), "first").distinct(), "line-pairs")
+    shared = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1")
+    shared = stored(shared.select("line", "first", (F.col("n") > most).alias("often")), "line-shared")
+    pairs = [lines.join(sized(shared.where(part)), "line").where("key <> first").select(F.col("key").alias("later"), "first", "often") for part in ("NOT often", "often")]
+    pairs = stored(pairs[0].union(pairs[1]).groupBy("later", "first").agg(F.min("often").alias("often")), "line-pairs")
     held = stored(pairs.select(F.col("later.h").alias("h")).union(pairs.select("first.h")).distinct(), "line-held")
     sets = keep_ids(rows.select("key", "text", F.col("key.h").alias("h")), held, "h").select("key", "text").mapInArrow(_sets, f"{schema}, hashes binary").dropDuplicates(["key"])
     sets = stored(sets, "line-sets")
-    both = pairs.join(sets.toDF("first", "hf"), "first").join(sets.toDF("later", "hl"), "later").select("later", "hf", "hl")
-    found = both.mapInArrow(_aligned, "later struct<none:boolean,id:long,h:long>, places array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    found = stored(found.select(F.col("later.h").alias("row_key"), F.col("places")).where(F.size("places") > 0), "line-found")
+    firsts = stored(pairs.where("often").select(F.col("first").alias("key")).distinct(), "line-often")
+    firsts = stored(keep_ids(sets, firsts, "key").toDF("first", "hf"), "line-firsts")
+    few = firsts.agg(F.coalesce(F.sum(F.octet_length("hf")), F.lit(0))).first()[0] <= 80 * SMALL_ROWS
+    both = pairs.where("NOT often").join(sets.toDF("first", "hf"), "first").join(sets.toDF("later", "hl"), "later").select("later", "hf", "hl")
+    wide = pairs.where("often").join(sets.toDF("later", "hl"), "later").join(F.broadcast(firsts) if few else firsts.hint("shuffle_merge"), "first").select("later", "hf", "hl")
+    found = both.union(wide).mapInArrow(_aligned, "later struct<none:boolean,id:long,h:long>, places array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    found = found.select(F.col("later.h").alias("row_key"), "places", F.lit(False).alias("whole")).where(F.size("places") > 0)
+    found = stored(found.union(copies.select("key.h", F.array().cast("array<int>"), F.lit(True))), "line-found")
     keyed = docs.withColumn("row_key", F.xxhash64(ident, text))
     listed = found.select("row_key")
     changed = keep_ids(keyed, listed, "row_key").join(sized(found, "places"), "row_key").drop("row_key")

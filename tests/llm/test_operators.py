@@ -224,6 +224,23 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_frequent_lines(spark):
+    rng = random.Random(3)
+    wide = "a line of more than eight words that very many documents hold"
+    whole = "\n".join(sentence(rng, 10) for _ in range(4))
+    made = [(i, f"{sentence(rng, 12)}\n{wide}" if i % 3 else whole) for i in range(180)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(5)).collect()}
+    for i, t in made:
+        lines = t.split("\n")
+        assert got[i].kept_text == ("" if i % 3 == 0 and i else t if i in (0, 1) else lines[0]), i
+        assert got[i].n_removed == (0 if i in (0, 1) else 1 if i % 3 else len(lines))
+
+
+def test_rarity_does_not_change_what_line_dedup_removes(docs):
+    pick = lambda **how: counted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(docs, **how).collect())
+    assert pick(rare_share=0.0, rare_least=1) == pick()
+
+
 def test_patience_is_a_common_subsequence():
     rng = random.Random(0)
     for _ in range(300):
