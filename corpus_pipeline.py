@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; those of which nothing is left go."""
-    cut = line_dedup(docs).where("n_removed = 0 OR trim(kept_text) <> ''")
+    cut = line_dedup(docs).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     text = F.col("kept_text")
     return cut.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -3,8 +3,10 @@
 Documents of equal lines form a class, whose first one stands for it; of the others every line is deleted. Documents
 that share a line (by hash) are candidates; each line pairs its later holders with its first, so a line held by n
 documents gives n - 1 pairs. A pair's lines are aligned by patience diff: lines that are unique in both are anchors,
-the longest rising chain of anchors is kept and extended over equal neighbours, and the gaps are aligned likewise.
-Common blocks of an alignment are deleted from the later document. Rarity only says how a pair is joined: the first
+the longest rising chain of anchors is kept and extended over equal neighbours, and the gaps are aligned likewise;
+where no line is unique in both, the nth places of a line are anchors. Common blocks of an alignment are deleted from
+the later document, short and blank lines with the others, if a block has LINE_WORDS words in all. Short lines find
+candidates by runs: from each one on, as many as make LINE_WORDS words. Rarity only says how a pair is joined: the first
 holders of frequent lines are few and are broadcast, so that no task meets all holders of a line.
 """
 
@@ -25,7 +27,7 @@ from ._cluster import SMALL_ROWS, drop_ids, keep_ids, sized, stored
 #: A line is rare if at most this share of documents, or RARE_LEAST documents, hold it; others are joined another way.
 RARE_SHARE = 0.01
 RARE_LEAST = 50
-#: Words that a line must have to find candidates or to be deleted; shorter lines are no evidence of copying.
+#: Words that a line, or a run of shorter ones, must have to be evidence of copying: to find candidates, or for a block to be deleted.
 LINE_WORDS = 8
 
 
@@ -45,9 +47,27 @@ def _hashes(texts: list[bytes]) -> np.ndarray:
     return K.mix((total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(K.U))
 
 
-def enough_words(plain: list[bytes], least: int) -> np.ndarray:
-    """Whether each line has at least so many words."""
-    return np.array([p.count(b" ") + 1 >= least if p else False for p in plain])
+def word_counts(plain: list[bytes]) -> list[int]:
+    return [p.count(b" ") + 1 if p else 0 for p in plain]
+
+
+def _starts(hashes: np.ndarray, words: list[int], least: int) -> np.ndarray:
+    """Hashes that find candidates: of each line of enough words, and from each shorter one on of the run of short lines,
+    blank ones left out, that reaches `least` words. What two documents have in common of such a run, both have whole."""
+    out = [h for h, n in zip(hashes.tolist(), words) if n >= least]
+    run: list[tuple[int, int]] = []
+    total = 0
+    for h, n in zip(hashes.tolist(), words):
+        if n >= least:
+            run, total = [], 0
+        elif n:
+            run.append((h, n))
+            total += n
+            while total >= least:
+                own = hashlib.blake2b(b"".join(x.to_bytes(8, "little") for x, _ in run), digest_size=8)
+                out.append(int.from_bytes(own.digest(), "little"))
+                total -= run.pop(0)[1]
+    return np.unique(np.array(out, dtype=K.U))
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -70,6 +90,14 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _nth_places(a: list[int], a0: int, a1: int, b: list[int], b0: int, b1: int) -> list[tuple[int, int]]:
+    """The nth place of each line in a with its nth place in b."""
+    places: dict[int, list[int]] = {}
+    for j in range(b1 - 1, b0 - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    return [(i, left.pop()) for i in range(a0, a1) if (left := places.get(a[i]))]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions (i, j) with a[i] == b[j], rising in both."""
     out: list[tuple[int, int]] = []
@@ -91,6 +119,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         for j in range(b0, b1):
             seen[b[j]] = -1 if b[j] in seen else j
         anchors = _rising(sorted((i, seen[x]) for x, i in where.items() if i >= 0 and seen.get(x, -1) >= 0))
+        if not anchors:
+            anchors = _rising(sorted(_nth_places(a, a0, a1, b, b0, b1)))
         if not anchors:
             continue
         i, j = a0, b0
@@ -103,6 +133,22 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+_BLANK = int(_hashes([b""]).view(np.int64)[0])
+
+
+def blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Ranges of b that are common blocks: aligned places that follow each other in both, but for blank lines."""
+    out: list[tuple[int, int]] = []
+    x, y = -1, -1
+    for i, j in patience(a, b):
+        if out and all(h == _BLANK for h in a[x + 1 : i]) and all(h == _BLANK for h in b[y + 1 : j]):
+            out[-1] = (out[-1][0], j + 1)
+        else:
+            out.append((j, j + 1))
+        x, y = i, j
+    return out
+
+
 def _index(least: int):
     def run(batches):
         for batch in batches:
@@ -111,7 +157,7 @@ def _index(least: int):
                 same, hashes, lines = [], [], [0]
                 for t in text.slice(i, j - i).to_pylist():
                     _, plain = _lines(t or "")
-                    mine = np.unique(_hashes(plain)[enough_words(plain, least)])
+                    mine = _starts(_hashes(plain), word_counts(plain), least)
                     same.append(hashlib.md5(b"\n".join(plain)).digest() if any(plain) else None)
                     hashes.append(mine)
                     lines.append(lines[-1] + len(mine))
@@ -133,8 +179,8 @@ def _aligned(batches):
         out = []
         for a, b in zip(first.to_pylist(), own.to_pylist()):
             x, y = np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist()
-            out.append([j for _, j in patience(x, y)])
-        yield pa.RecordBatch.from_arrays([later, pa.array(out, pa.list_(pa.int32()))], names=["later", "places"])
+            out.append([i << 32 | j for i, j in blocks(x, y)])
+        yield pa.RecordBatch.from_arrays([later, pa.array(out, pa.list_(pa.int64()))], names=["later", "places"])
 
 
 def _cut(least: int, text_col: str, names: list[str]):
@@ -143,7 +189,9 @@ def _cut(least: int, text_col: str, names: list[str]):
             total, gone, kept = [], [], []
             for t, p, whole in zip(batch.column(text_col).to_pylist(), batch.column("places").to_pylist(), batch.column("whole").to_pylist()):
                 lines, plain = _lines(t or "")
-                drop = {k for k in (range(len(lines)) if whole else p) if k < len(lines) and plain[k] and plain[k].count(b" ") + 1 >= least}
+                words = word_counts(plain)
+                ranges = [(0, len(lines))] if whole else [(x >> 32, x & 0xFFFFFFFF) for x in p]
+                drop = {k for i, j in ranges if whole or sum(words[i:j]) >= least for k in range(i, j)}
                 total.append(len(lines) if t else 0)
                 gone.append(len(drop))
                 kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else t)
@@ -158,8 +206,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are split at \\n and compared with blanks collapsed. A line is rare if at most max(rare_least, rare_share *
     rows) documents hold it; this chooses the join and not the result. Of two documents the later is the one with the greater id; null ids come last, and rows
-    that share an id are ordered by a hash of the row, equal rows being one. Only lines of `least` words or more find
-    candidates or are deleted. Null texts stay null and empty ones empty; an empty table gives an empty result.
+    that share an id are ordered by a hash of the row, equal rows being one. Only lines, or runs of
+    shorter ones, of `least` words or more find candidates, and only common blocks of as many are deleted; a document
+    whose lines are all those of an earlier one goes whole, however short. Null texts stay null and empty ones empty; an empty table gives an empty result.
     Columns named like the three added, row_key, places or whole are dropped; all others stay.
     """
     docs = docs.drop("n_lines", "n_removed", "kept_text", "row_key", "places", "whole")
@@ -184,9 +233,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = firsts.agg(F.coalesce(F.sum(F.octet_length("hf")), F.lit(0))).first()[0] <= 80 * SMALL_ROWS
     both = pairs.where("NOT often").join(sets.toDF("first", "hf"), "first").join(sets.toDF("later", "hl"), "later").select("later", "hf", "hl")
     wide = pairs.where("often").join(sets.toDF("later", "hl"), "later").join(F.broadcast(firsts) if few else firsts.hint("shuffle_merge"), "first").select("later", "hf", "hl")
-    found = both.union(wide).mapInArrow(_aligned, "later struct<none:boolean,id:long,h:long>, places array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    found = both.union(wide).mapInArrow(_aligned, "later struct<none:boolean,id:long,h:long>, places array<long>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     found = found.select(F.col("later.h").alias("row_key"), "places", F.lit(False).alias("whole")).where(F.size("places") > 0)
-    found = stored(found.union(copies.select("key.h", F.array().cast("array<int>"), F.lit(True))), "line-found")
+    found = stored(found.union(copies.select("key.h", F.array().cast("array<long>"), F.lit(True))), "line-found")
     keyed = docs.withColumn("row_key", F.xxhash64(ident, text))
     listed = found.select("row_key")
     changed = keep_ids(keyed, listed, "row_key").join(sized(found, "places"), "row_key").drop("row_key")

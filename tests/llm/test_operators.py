@@ -236,6 +236,21 @@ def test_line_dedup_of_frequent_lines(spark):
         assert got[i].n_removed == (0 if i in (0, 1) else 1 if i % 3 else len(lines))
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = "One red stone\n\nby the river\n\nlies and waits\nfor the kite"
+    long = "a line of at least eight words is here"
+    texts = [verse, f"My own head\n{verse}\nmy own tail", verse, f"short start\n\n{long}\nshort end\nelse", f"short start\n\n{long}\nshort end\nother", f"short start\nby the river\n{long} too", "tiny", "tiny"]
+    texts += [verse.replace("\n\n", "\n"), "x\ny\nx\n" + long, long + "\n" + long]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    kept = {1: "My own head\nmy own tail", 2: "", 4: "other", 7: "", 8: "", 9: "x\ny\nx"}
+    assert {i: t for i, (_, t) in got.items() if i < 10} == {i: kept.get(i, t) for i, t in enumerate(texts) if i < 10}
+    assert got[2][0] == 6 and got[10][0] >= 1
+
+
+def test_line_dedup_aligns_lines_unique_in_neither():
+    assert line_dedup.patience([1, 2, 1], [3, 1, 4, 1]) == [(0, 1), (2, 3)]
+
+
 def test_rarity_does_not_change_what_line_dedup_removes(docs):
     pick = lambda **how: counted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(docs, **how).collect())
     assert pick(rare_share=0.0, rare_least=1) == pick()
