@@ -39,10 +39,10 @@ def capitalised(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def recognise(docs: DataFrame, recogniser: Recogniser = capitalised, key: str = "file_id", text: str = "text", longest: int = 200_000) -> DataFrame:
+def recognise(docs: DataFrame, recogniser: Recogniser = capitalised, key: str = "file_id", text: str = "text", longest: int | None = None) -> DataFrame:
     """(key, text, normalised, category, char_start, char_end): what a recogniser finds in each text, filtered.
 
-    Unknown labels, names under two characters, numbers, and bare acronyms of organisations, products and works go.
+    Texts are read whole; `longest` is for a recogniser whose memory needs a bound. Unknown labels, names under two characters, numbers, and bare acronyms of organisations, products and works go.
     """
 
     @F.pandas_udf("array<struct<surface:string,label:string,char_start:int,char_end:int>>")

@@ -169,6 +169,11 @@ def test_gazetteer(spark):
     assert [tuple(r) for r in E.propagate(docs, names).collect()] == [(9, "Ann Lee", "person", 2)]
 
 
+def test_names_late_in_a_long_text(spark):
+    docs = spark.createDataFrame([(1, "x " * 150_000 + "Then Ann Lee came.")], "file_id long, text string")
+    assert [(r.text, r.char_start) for r in E.recognise(docs).collect()] == [("Then Ann Lee", 300_000)]
+
+
 def test_config(tmp_path):
     f = tmp_path / config.FILE_NAME
     f.write_text("[retrieval]\ntop_k = 4\n[scan]\nroot = 'x'\n")
