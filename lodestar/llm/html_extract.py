@@ -1,10 +1,10 @@
 """HTML extraction by union-free regular-expression inference.
 
-The token streams of some pages of a host are aligned one after another. Where they agree the wrapper keeps the
+The token streams of all pages of a host are aligned one after another, in each task and then the tasks' wrappers. Where they agree the wrapper keeps the
 token; where texts differ it gets a text slot; where tags differ, neighbours of one kind become a repeated group and
 what only one side has becomes optional. The result is a regular expression without alternatives over nested tags.
 It says which region of a host's pages holds the varying text, and which parts of that region are the same on every
-page; every page of the host is then read by it.
+page; every page of the host is then read by it, and a part is left out only where it equals the wrapper's constant.
 """
 
 from __future__ import annotations
@@ -12,16 +12,19 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import SMALL_ROWS, keep_ids, stored
+from ._cluster import SMALL_ROWS, stored
 
-#: Pages of a host that a wrapper is inferred from; every page is read.
-SAMPLE = 8
+#: Hosts whose wrappers a task holds before it passes them on.
+HELD_HOSTS = 500
+#: Tasks' wrappers of a host are merged in this many groups first.
+MERGE_GROUPS = 32
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -141,7 +144,9 @@ def generalise(a: Piece, b: Piece) -> Piece:
 def _aligned(a: list[Piece], b: list[Piece]) -> list[Piece]:
     """Two lists of parts aligned by their longest common sequence of signatures; what one lacks is optional."""
     n, m = len(a), len(b)
-    if n * m > 250_000:  # very long runs of unlike parts: matched in order of first meeting
+    if [p.sign for p in a] == [p.sign for p in b]:
+        steps = [(x, x) for x in range(n)]
+    elif n * m > 250_000:  # very long runs of unlike parts: matched in order of first meeting
         where = {}
         for y, p in enumerate(b):
             where.setdefault(p.sign, y)
@@ -200,15 +205,19 @@ def _slots(piece: Piece) -> int:
 
 
 def _constant(piece: Piece) -> bool:
-    return piece.text is not None and all(_constant(k) for k in piece.kids)
+    return piece.text is not None and piece.many != "?" and all(_constant(k) for k in piece.kids)
 
 
 def _says(piece: Piece) -> bool:
     return bool(piece.text) or piece.text is None or any(_says(k) for k in piece.kids)
 
 
+def _may_be_fixed(sign: str) -> bool:
+    return " " in sign and sign.split(" ")[0] in ("div", "section", "ul", "ol", "table")
+
+
 def rule_of(piece: Piece, pages: int) -> dict:
-    """How a host's pages are read: the path of signatures to the article, and signatures in it that are the same on every page."""
+    """How a host's pages are read: the path of signatures to the article, and the parts of it that are the same on every page, as `show` writes them."""
     path, here = [], piece
     named = _named(piece)
     if named:
@@ -220,7 +229,7 @@ def rule_of(piece: Piece, pages: int) -> dict:
                 break
             here = kids[0][0]
             path.append(here.sign)
-    fixed = [k.sign for k in here.kids if pages >= 3 and " " in k.sign and k.many == "" and _constant(k) and _says(k) and k.sign.split(" ")[0] in ("div", "section", "ul", "ol", "table")] if _slots(here) else []
+    fixed = [show(k) for k in here.kids if pages >= 3 and _may_be_fixed(k.sign) and k.many == "" and _constant(k) and _says(k)] if _slots(here) else []
     return {"path": path, "fixed": fixed, "shape": show(piece)}
 
 
@@ -245,13 +254,75 @@ def _find(piece: Piece, tag: str, path: list) -> tuple[list, Piece] | None:
     return None
 
 
-def infer(pages: list[str]) -> dict:
-    """The reading rule of pages of one host."""
-    whole = None
-    for source in pages:
-        one = wrapper_of(parse(source))
-        whole = one if whole is None else generalise(whole, one)
-    return rule_of(whole, len(set(pages))) if whole else {"path": [], "fixed": [], "shape": ""}
+def packed(piece: Piece) -> str:
+    """A wrapper as JSON: its parts in order, each with the number of its own parts."""
+    out, work = [], [piece]
+    while work:
+        p = work.pop()
+        out.append([p.sign, p.many, p.text, len(p.kids)])
+        work += p.kids[::-1]
+    return json.dumps(out)
+
+
+def unpacked(said: str) -> Piece:
+    done: list[Piece] = []
+    for sign, many, text, n in reversed(json.loads(said)):
+        kids = [done.pop() for _ in range(n)]
+        done.append(Piece(sign, many, kids, text))
+    return done[0]
+
+
+class Fold:
+    """The wrapper of pages so far, and hashes of three unlike ones among them at most."""
+
+    def __init__(self):
+        self.whole, self.seen = None, set()
+
+    def add(self, piece: Piece, seen) -> None:
+        self.whole = piece if self.whole is None else generalise(self.whole, piece)
+        if len(self.seen) < 3:
+            self.seen = set(sorted({*self.seen, *seen})[:3])
+
+
+def _deep() -> None:
+    """Pages may be nested deeper than Python's default allows."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
+
+
+def _fold_pages(batches):
+    _deep()
+    held: dict[str, Fold] = {}
+
+    def out():
+        rows = [(h, packed(f.whole), sorted(f.seen)) for h, f in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["host", "part", "seen"])
+
+    for batch in batches:
+        for host, source, key in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(host, Fold()).add(wrapper_of(parse(source)), [key])
+            if len(held) >= HELD_HOSTS:
+                yield out()
+    if held:
+        yield out()
+
+
+def _merged(pdf: pd.DataFrame) -> Fold:
+    _deep()
+    fold = Fold()
+    for part, seen in sorted(zip(pdf.part, map(list, pdf.seen))):
+        fold.add(unpacked(part), seen)
+    return fold
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    fold = _merged(pdf)
+    return pd.DataFrame({"host": [pdf.host.iloc[0]], "part": [packed(fold.whole)], "seen": [sorted(fold.seen)]})
+
+
+def _learn(pdf: pd.DataFrame) -> pd.DataFrame:
+    fold = _merged(pdf)
+    return pd.DataFrame({"host": [pdf.host.iloc[0]], "rule": [json.dumps(rule_of(fold.whole, len(fold.seen)))]})
 
 
 def _at(root: Node, path: list[str]) -> list[Node]:
@@ -294,7 +365,7 @@ def read(source: str, rule: dict | None) -> str:
         for k in node.kids:
             if isinstance(k, str):
                 line.append(k)
-            elif k.aside or (k.tag == "header" and not inside) or (depth == 0 and k.sign in fixed):
+            elif k.aside or (k.tag == "header" and not inside) or (depth == 0 and fixed and _may_be_fixed(k.sign) and show(wrapper_of(k)) in fixed):
                 flush()
             elif k.tag == "br":
                 flush()
@@ -316,24 +387,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     white space inside a block becomes one space; blocks are joined in page order by one space. Repeated rows are read
     each. Other columns are ignored; an empty table gives an empty result.
 
-    A host's wrapper is inferred from its SAMPLE pages with the least hash, taken before the shuffle in each task, so a
-    hot host sends no more than others. Pages themselves are shuffled only where the hosts are too many to broadcast.
+    A host's wrapper is folded from all its pages that aren't empty: in each task, then in MERGE_GROUPS groups of tasks,
+    then in one, so a hot host sends a wrapper a task. Pages themselves are shuffled only where the hosts are too many to
+    broadcast.
     """
     host = F.coalesce(F.try_parse_url(pages[url_col], F.lit("HOST")), F.lit(""))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"), host.alias("host"))
-    rows = rows.withColumn("key", F.xxhash64("id", "url", "html"))
-    picked = rows.select("host", "key").withColumn("nth", F.expr("row_number() OVER (PARTITION BY host ORDER BY key)")).where(F.col("nth") <= SAMPLE).select("key").distinct()
-    picked = stored(picked, "html-sample")
-    sample = keep_ids(rows.select("host", "key", "html"), picked, "key").dropDuplicates(["key"])
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "rule": [json.dumps(infer(list(pdf.html)))]})
-
-    rules = stored(sample.groupBy("host").applyInPandas(learn, "host string, rule string"), "html-rules")
+    schema = "host string, part string, seen array<long>"
+    parts = rows.where(F.trim("html") != "").select("host", "html", F.xxhash64("html")).mapInArrow(_fold_pages, schema)
+    parts = stored(parts.withColumn("deal", F.spark_partition_id() % MERGE_GROUPS), "html-parts")
+    parts = parts.groupBy("host", "deal").applyInPandas(_merge, schema)
+    rules = stored(parts.groupBy("host").applyInPandas(_learn, "host string, rule string"), "html-rules")
     small = rules.limit(SMALL_ROWS // 20 + 1).count() <= SMALL_ROWS // 20
 
     def run(batches):
+        _deep()
         known: dict[str, dict] = {}
         for batch in batches:
             texts = []

@@ -319,6 +319,17 @@ def test_html_extract(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_blocks_that_few_pages_vary(spark):
+    made = [(k, f"http://h.example/{k}", f"<article><div class=lead>{'Real lead' if k == 33 else 'Read more'}</div><div class=same>Always</div><p>Text {k}</p></article>") for k in range(40)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {k: f"{'Real lead' if k == 33 else 'Read more'} Text {k}" for k in range(40)}
+
+
+def test_packed_wrapper_is_the_same():
+    piece = html_extract.wrapper_of(html_extract.parse("<div>a<p>x</p><p>y</p><ul id=u><li>z</ul></div><i>b"))
+    assert html_extract.show(html_extract.unpacked(html_extract.packed(piece))) == html_extract.show(piece)
+
+
 def test_wrapper_generalises_to_optional_and_repeated():
     a, b = (html_extract.wrapper_of(html_extract.parse(s)) for s in ("<div><p>x</p><p>y</p><i>z</i></div>", "<div><p>x</p><u>w</u></div>"))
     assert html_extract.show(html_extract.generalise(a, b).kids[0]) == "<div>(<p>#TEXT</p>)+(<i>z</i>)?(<u>w</u>)?</div>"
