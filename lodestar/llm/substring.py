@@ -1,12 +1,15 @@
 """Substring deduplication: every word inside a repeated run of words is found and removed.
 
-The suffixes of all texts are indexed as prefix-partitioned suffix trees, cut at the depth that counts (the
-window length): an internal node at that depth with two leaves is a window that starts at two places, and the
-stretches of such windows are the maximal repeats. The trees are sparse first: only suffixes that start at a
-minimiser (the least of the PREFIX-word hashes in a window) enter, so each window is seen through exactly one
-suffix, and equal windows through equal suffixes at equal offsets. A prefix with one suffix has no internal
-node and is dropped. Where a prefix has several, all windows that it stands for are entered at full depth, in
-groups by a longer prefix (their whole content), which splits hot prefixes.
+Suffixes of all texts are partitioned by prefixes of variable length, and each group of suffixes with one prefix gets a
+suffix tree of its own. A suffix matters as far as its first window. Its prefix starts at the window's minimiser (the
+least of the PREFIX-word hashes in it), so equal windows have equal prefixes at equal offsets, and neighbouring windows
+with one minimiser travel as one segment of words. The first prefix is the minimiser's own PREFIX words and stands for
+all offsets. A prefix of more than GROUP suffixes is made longer: its offsets are halved, and each half has more words
+in common, on the one side or the other, up to the whole window. A prefix with one suffix is dropped.
+
+A task holds whole groups, builds their trees as a sorted suffix array with the lengths of common prefixes, and takes for
+each suffix the depth of its deepest inner node: if that is a window or more, so many words are a repeat, and the
+stretches of such words are the maximal repeats.
 """
 
 from __future__ import annotations
@@ -15,14 +18,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._cluster import keep_ids, stored
+from ._cluster import Tables, keep_ids, sized
 
 #: Words of the first, shortest prefix of a suffix.
 PREFIX = 8
+#: Suffixes that share a prefix before it is made longer.
+GROUP = 4096
+#: Words of the segments that a task builds trees of at once.
+TREE_WORDS = 400_000
+#: Bytes that stand for a word inside a segment.
+CODE = 6
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -52,17 +62,59 @@ def _minimisers(w: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return whole, at[whole], grams
 
 
+class _Segments:
+    """Runs of windows with one minimiser, of a slice of documents: windows lo to hi of the slice, the minimiser at place p, and offsets first to last that the run stands for."""
+
+    def __init__(self, w: K.Words, window: int):
+        self.w, self.window, self.sums = w, window, {}
+        whole, at, self.grams = _minimisers(w, window)
+        new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
+        self.p, self.lo, self.hi = at[new], whole[new], whole[np.append(new[1:], len(whole)) - 1] if len(new) else whole
+        self.first, self.last = np.zeros(len(new), np.int64), np.full(len(new), window - min(PREFIX, window))
+        self.doc = np.searchsorted(w.bounds, self.p, side="right") - 1
+
+    def core(self) -> np.ndarray:
+        """Hash of the prefix of each run: the words that all its offsets have in common, and the offsets."""
+        out = np.zeros(len(self.p), dtype=K.U)
+        length = self.window - (self.last - self.first)
+        for k in np.unique(length):
+            if k not in self.sums:
+                self.sums[k] = self.w.grams(int(k))[0]
+            mine = length == k
+            out[mine] = self.sums[k][self.p[mine] - self.first[mine]]
+        return K.mix(out + (self.first * 64 + self.last).astype(K.U))
+
+    def take(self, rows: np.ndarray) -> None:
+        for name in ("p", "lo", "hi", "first", "last", "doc"):
+            setattr(self, name, getattr(self, name)[rows])
+
+    def split(self, rows: np.ndarray) -> None:
+        """Runs that `rows` marks become two, one for each half of their offsets; halves without a window go."""
+        rows = rows & (self.last > self.first)
+        half = (self.first + self.last) // 2
+        parts = []
+        for which, first, last in ((~rows, self.first, self.last), (rows, self.first, half), (rows, half + 1, self.last)):
+            first, last = first[which], last[which]
+            lo, hi = np.maximum(self.lo[which], self.p[which] - last), np.minimum(self.hi[which], self.p[which] - first)
+            parts.append([x[lo <= hi] for x in (self.p[which], lo, hi, first, last, self.doc[which])])
+        self.p, self.lo, self.hi, self.first, self.last, self.doc = (np.concatenate(x) for x in zip(*parts))
+
+    def within(self, wanted: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Which runs have a prefix that is among their document's wanted ones."""
+        tie = lambda core, doc: K.mix(core + doc.astype(K.U) * K.U(0x9E3779B97F4A7C15))
+        return np.isin(tie(self.core(), self.doc), tie(wanted.view(K.U), owner))
+
+
 def _index(window: int):
-    """Per document: id, row key, words, digest of all words and the prefixes of its sampled suffixes."""
+    """Per document: id, row key, words, digest of all words and the first prefixes of its suffixes."""
 
     def run(batches):
         for batch in batches:
             ids, keys, text = batch.columns
             for i, j, w in K.hashed(text, K.BLANKS, False):
-                whole, at, grams = _minimisers(w, window)
-                at = np.unique(at)
-                prefixes = grams[at]
-                bounds = np.searchsorted(at, w.bounds)
+                runs = _Segments(w, window)
+                prefixes = runs.core()
+                bounds = np.searchsorted(runs.p, w.bounds)
                 digests = [hashlib.sha256(b" ".join(t.encode().split()) if t else b"").digest() for t in text.slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), keys.slice(i, j - i), pa.array(w.counts, pa.int64()), pa.array(digests, pa.binary()), K.list_array(K.signed(prefixes), bounds, pa.int64())],
@@ -72,62 +124,90 @@ def _index(window: int):
     return run
 
 
-def _leaves(window: int, most: int = 1 << 20):
-    """Windows under shared prefixes, as rows (h, check_pos, key, places).
+def _runs(batch: pa.RecordBatch, window: int, grown: int):
+    """(rows i to j, runs under shared prefixes, split where a prefix of their document is hot) of texts with the columns key, text, prefixes, hot; `grown` times."""
+    _, text, *lists = batch.columns
+    flat = [(np.asarray(x.flatten()), np.asarray(x.offsets)) for x in lists]
+    flat = [(values, at - at[0]) for values, at in flat]
+    for i, j, w in K.hashed(text, K.BLANKS, False):
+        runs = _Segments(w, window)
+        (shared, by), (hot, hot_by) = ((v[at[i] : at[j]], np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))) for v, at in flat)
+        runs.take(runs.within(shared, by))
+        for _ in range(grown):
+            runs.split(runs.within(hot, hot_by))
+        yield i, j, runs
+
+
+def _longer(window: int, grown: int):
+    """Per document: the prefixes of the runs that the last split has made."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, runs in _runs(batch, window, grown):
+                width = runs.last - runs.first
+                runs.take(width < (window - min(PREFIX, window)) >> (grown - 1))
+                order = np.argsort(runs.doc, kind="stable")
+                at = np.searchsorted(runs.doc[order], np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), K.list_array(K.signed(runs.core()[order]), at, pa.int64())], names=["key", "cores"])
+
+    return run
+
+
+def _coded(hashes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :CODE]
+
+
+def _segments(window: int, grown: int, most: int = 1 << 20):
+    """Segments under their prefixes, as rows (core, key, start, words, covered).
 
-    A window seen once in what a task has in hand is a row of its own: its hash, 32 check bits and its place.
-    One seen more often is known as repeated: its places go into one row per document, under a hash of their
-    own, and a single row without a key tells the others that it counts twice. So a hot window has at most
-    one row per task's block.
+    A segment seen once in what a task has in hand is a row of its own. Of one seen more often every place is known to
+    repeat: a document's places go into one row (covered, without words) under a hash of their own, and a single row
+    without a key shows the segment to the others. So a hot segment has at most one row per task's block.
     """
 
     def flush(parts):
-        h, check, pos, key = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((check, h))
-        h, check, pos, key = h[order], check[order], pos[order], key[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-        size = np.diff(np.append(np.flatnonzero(new), len(h)))
-        many = np.repeat(size > 1, size)
-        one = ~many
-        first = new & many
-        k, p = key[many], pos[many]
-        by = np.lexsort((p, k))
-        k, p = k[by], p[by]
-        start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, dtype=np.int64)
-        n1, n2, n3 = int(one.sum()), int(first.sum()), len(start)
-        pack = lambda c, x: (c.astype(np.int64) << 32) | x.astype(np.int64)
-        hashes = np.concatenate([K.signed(h[one]), K.signed(h[first]), k[start] if n3 else np.zeros(0, np.int64)])
-        packed = np.concatenate([pack(check[one], pos[one]), pack(check[first], np.zeros(n2, np.int64)), np.full(n3, -1, np.int64)])
-        keys = np.concatenate([key[one], np.zeros(n2, np.int64), k[start] if n3 else np.zeros(0, np.int64)])
-        absent = np.concatenate([np.zeros(n1, bool), np.ones(n2, bool), np.zeros(n3, bool)])
-        bounds = np.concatenate([np.zeros(n1 + n2, np.int64), start, [len(p)]])
-        places = K.list_array(p, bounds, pa.int32())
-        at = 0
-        while at < n1 + n2 + n3:  # small batches, so that the JVM holds little at once
-            to = min(at + 100_000, n1 + n2 + n3)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at:to]), pa.array(packed[at:to]), pa.array(keys[at:to], mask=absent[at:to]), places.slice(at, to - at)], names=["h", "check_pos", "key", "places"])
-            at = to
+        core, key, start, size, one, two, codes = (np.concatenate(x) for x in zip(*parts))
+        begin = np.cumsum(size) - size
+        order = np.lexsort((two, one))
+        same = np.zeros(len(order), bool)
+        same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        group = np.cumsum(~same) - 1
+        many = (np.bincount(group) > 1)[group] if len(group) else same
+        single, shown, again = order[~many], order[many & ~same], order[many]
+        again = again[np.lexsort((start[again], key[again]))]
+        fresh = np.flatnonzero(np.diff(key[again], prepend=~key[again][:1]) != 0) if len(again) else np.zeros(0, np.int64)
+        worded = np.concatenate([single, shown])
+        n, m = len(worded), len(fresh)
+        at = np.append(np.cumsum(size[worded]) - size[worded], size[worded].sum())
+        spots = np.repeat(begin[worded] - at[:-1], size[worded]) + np.arange(at[-1])
+        data = np.ascontiguousarray(codes[spots])
+        offsets = np.concatenate([at * CODE, np.full(m, at[-1] * CODE)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n + m, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+        absent = np.zeros(n + m, bool)
+        absent[len(single) : n] = True
+        covered = K.list_array((start[again] << 32) | (start[again] + size[again]), np.concatenate([np.zeros(n, np.int64), fresh, [len(again)]]), pa.int64())
+        own = key[again][fresh]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([core[worded], own])), pa.array(np.concatenate([key[worded], own]), mask=absent), pa.array(np.concatenate([start[worded], np.zeros(m, np.int64)])), words, covered],
+            names=["core", "key", "start", "words", "covered"],
+        )
+        for x in range(0, n + m, 10_000):  # small batches, so that the JVM holds little at once
+            yield batch.slice(x, 10_000)
 
     def run(batches):
         parts, n = [], 0
         for batch in batches:
-            keys, text, shared = batch.columns
-            keys = np.asarray(keys)
-            flat, offsets = np.asarray(shared.flatten()), np.asarray(shared.offsets)
-            offsets = offsets - offsets[0]
-            for i, j, w in K.hashed(text, K.BLANKS, False):
-                whole, at, grams = _minimisers(w, window)
-                # (document, prefix) pairs are compared as one hash
-                doc = np.repeat(np.arange(i, j), w.counts)
-                mine = K.mix(grams[at] + doc[at].astype(K.U) * K.U(0x9E3779B97F4A7C15))
-                owner = np.repeat(np.arange(i, j), np.diff(offsets[i : j + 1]))
-                wanted = K.mix(flat[offsets[i] : offsets[j]].view(K.U) + owner.astype(K.U) * K.U(0x9E3779B97F4A7C15))
-                whole = whole[np.isin(mine, wanted)]
-                h, _ = w.grams(window)
-                check, _ = w.grams(window, salt=77)
-                parts.append((h[whole], (check[whole] >> K.U(33)).astype(np.int32), (whole - w.bounds[doc[whole] - i]).astype(np.int32), keys[doc[whole]]))
-                n += len(whole)
+            keys = np.asarray(batch.column(0))
+            for i, _, runs in _runs(batch, window, grown):
+                w, size = runs.w, runs.hi - runs.lo + window
+                prior = np.cumsum(size) - size
+                spots = np.repeat(runs.lo - prior, size) + np.arange(size.sum())
+                core, hashes = runs.core(), w.hashes[spots]
+                # a segment is told by two hashes of its words, its prefix and its size
+                place = (np.arange(len(spots)) - np.repeat(prior, size)).astype(K.U)
+                told = [K.mix(np.add.reduceat(K.mix(hashes + place * odd), prior) + core + size.astype(K.U)) if len(size) else core for odd in (K.U(0x9E3779B97F4A7C15), K.U(0xC2B2AE3D27D4EB4F))]
+                parts.append((K.signed(core), keys[i + runs.doc], runs.lo - w.bounds[runs.doc], size, *told, _coded(hashes)))
+                n += len(spots)
                 if n >= most:
                     yield from flush(parts)
                     parts, n = [], 0
@@ -137,31 +217,108 @@ def _leaves(window: int, most: int = 1 << 20):
     return run
 
 
-def covered(places: np.ndarray, n_words: int, window: int) -> np.ndarray:
-    """Which of n_words words the windows that start at places cover."""
-    change = np.zeros(n_words + 1, dtype=np.int32)
-    places = np.unique(places)
-    np.add.at(change, places, 1)
-    np.add.at(change, np.minimum(places + window, n_words), -1)
-    return np.cumsum(change[:-1]) > 0
-
+def depths(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each place in segments bounds[i]:bounds[i+1] of words, the depth of its suffix's deepest inner node in the tree of all suffixes: the length of its longest prefix that also starts at another place."""
+    n = len(words)
+    if n < 2:
+        return np.zeros(n, dtype=np.int64)
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)  # words to the segment's end
+    ranks, length = [np.unique(words, return_inverse=True)[1].astype(np.int64) + 1], 1
+    while length < left.max():  # order by twice as many words at a time; the end comes before any word
+        beyond = np.zeros(n, dtype=np.int64)
+        inside = np.flatnonzero(left > length)
+        beyond[inside] = ranks[-1][inside + length]
+        ranks.append(np.unique(ranks[-1] * (n + 2) + beyond, return_inverse=True)[1].astype(np.int64) + 1)
+        length *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    most = np.minimum(left[a], left[b])
+    common = np.zeros(n - 1, dtype=np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        ok = np.flatnonzero(common < most)
+        x, y = a[ok] + common[ok], b[ok] + common[ok]
+        same = ranks[k][x] == ranks[k][y]
+        common[ok[same]] += 1 << k
+    common = np.minimum(common, most)
+    out = np.zeros(n, dtype=np.int64)
+    out[order[1:]] = common
+    out[order[:-1]] = np.maximum(out[order[:-1]], common)
+    return out
+
+
+def _trees(window: int):
+    """Stretches of repeated words (start << 32 | end) per document, of rows that come sorted by prefix; a prefix's rows are held together."""
+
+    def build(held):
+        keys, starts, words = zip(*held)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(-1, CODE)
+        codes = np.zeros((len(raw), 8), dtype=np.uint8)
+        codes[:, :CODE] = raw
+        bounds = np.concatenate([[0], np.cumsum([len(x) // CODE for x in words])])
+        depth = depths(codes.view(np.uint64).ravel(), bounds)
+        at = np.flatnonzero(depth >= window)
+        row = np.searchsorted(bounds, at, side="right") - 1
+        keep = np.array([k is not None for k in keys])[row]
+        at, row = at[keep], row[keep]
+        start = np.array(starts, dtype=np.int64)[row] + at - bounds[row]
+        end = start + depth[at]
+        # stretches of one row that meet are one
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > np.maximum.accumulate(end + row * (1 << 33))[:-1] - row[1:] * (1 << 33))
+        first = np.flatnonzero(new)
+        if not len(first):
+            return None
+        ends = np.maximum.reduceat(end, first)
+        return pa.array([keys[r] for r in row[first].tolist()], pa.int64()), K.list_array((start[first] << 32) | ends, np.arange(len(first) + 1), pa.int64())
 
-def _cut(window: int):
     def run(batches):
+        held, n, last, seen = [], 0, None, set()
         for batch in batches:
-            ids, text, places = batch.columns
-            ids, out = ids.to_pylist(), []
-            for d in range(batch.num_rows):
-                words = (text[d].as_py() or "").encode().split()
-                gone = covered(np.asarray(places[d].values), len(words), window)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                out.append((ids[d], len(words), int(gone.sum()), hashlib.sha256(kept).digest(), kept.decode()))
-            a, b, c, d, e = zip(*out) if out else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary()), pa.array(e)], names=["id", "n_words", "n_removed", "sha", "kept"])
+            known = batch.filter(pc.greater(pc.list_value_length(batch.column("covered")), 0))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column("key"), known.column("covered")], names=["key", "covered"])
+            for core, key, start, words in zip(*(batch.column(c).to_pylist() for c in ("core", "key", "start", "words"))):
+                if not words:
+                    continue
+                if core != last:
+                    if n >= TREE_WORDS:
+                        if found := build(held):
+                            yield pa.RecordBatch.from_arrays(list(found), names=["key", "covered"])
+                        held, n = [], 0
+                    last, seen = core, set()
+                if key is None:
+                    if words in seen:
+                        continue
+                    seen.add(words)
+                held.append((key, start, words))
+                n += len(words) // CODE
+        if held and (found := build(held)):
+            yield pa.RecordBatch.from_arrays(list(found), names=["key", "covered"])
 
     return run
 
 
+def covered(stretches: np.ndarray, n_words: int) -> np.ndarray:
+    """Which of n_words words lie in the stretches (start << 32 | end)."""
+    change = np.zeros(n_words + 1, dtype=np.int32)
+    np.add.at(change, stretches >> 32, 1)
+    np.add.at(change, stretches & 0xFFFFFFFF, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _cut(batches):
+    for batch in batches:
+        ids, text, places = batch.columns
+        ids, out = ids.to_pylist(), []
+        for d in range(batch.num_rows):
+            words = (text[d].as_py() or "").encode().split()
+            gone = covered(np.asarray(places[d].values), len(words))
+            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+            out.append((ids[d], len(words), int(gone.sum()), hashlib.sha256(kept).digest(), kept.decode()))
+        a, b, c, d, e = zip(*out) if out else ((), (), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary()), pa.array(e)], names=["id", "n_words", "n_removed", "sha", "kept"])
+
+
 def repeated_words(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256 (and kept_text if texts is set).
 
@@ -170,26 +327,37 @@ def repeated_words(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     than the window keep all. Rows that repeat an id, or whole rows, are documents of their own. Ids may be
     null; other columns of docs are ignored; an empty table gives an empty result.
 
-    Windows are compared by 96 bits of two hashes. Texts are shuffled only for documents with a shared prefix.
+    Words are compared by the CODE low bytes of a 64-bit hash. Texts are shuffled only for documents with a shared prefix.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[id_col], docs[text_col]).alias("key"), docs[text_col].alias("text"))
-    index = stored(rows.mapInArrow(_index(window), "id long, key long, n_words long, sha binary, prefixes array<long>"), "suffix-index")
-    suffixes = index.select("key", F.explode("prefixes").alias("prefix"))
-    inner = stored(suffixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix"), "suffix-inner")
-    shared = stored(suffixes.join(inner, "prefix").groupBy("key").agg(F.collect_set("prefix").alias("prefixes")), "suffix-shared")
+    tables = Tables(docs.sparkSession, "suffix")
+    index = tables("index", rows.mapInArrow(_index(window), "id long, key long, n_words long, sha binary, prefixes array<long>"))
+    suffixes = index.select("key", F.explode("prefixes").alias("core"))
+    inner = tables("inner", suffixes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", (F.col("n") > GROUP).alias("hot")))
+    held = F.collect_set("core").alias("prefixes"), F.collect_set(F.when(F.col("hot"), F.col("core"))).alias("hot")
+    shared = tables("shared", suffixes.join(inner, "core").groupBy("key").agg(*held))
 
     text = keep_ids(rows.select("key", "text"), shared.select("key"), "key")
-    once = text.join(shared, "key").select("key", "text", "prefixes")
-    leaves = once.mapInArrow(_leaves(window), "h long, check_pos long, key long, places array<int>")
-    nodes = leaves.repartition("h").withColumn("check", F.shiftright("check_pos", 32))
-    nodes = nodes.withColumn("n", F.expr("sum(CASE WHEN key IS NULL OR size(places) > 0 THEN 2 ELSE 1 END) OVER (PARTITION BY h, check)"))
-    hit = nodes.where("n > 1 AND key IS NOT NULL").select("key", F.when(F.size("places") > 0, F.col("places")).otherwise(F.array(F.col("check_pos").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("places"))
-    hit = stored(hit.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places")), "suffix-hit")
-
+    grown, hot = 0, inner.where("hot")
+    while (window - min(PREFIX, window)) >> grown and not hot.isEmpty():
+        # documents with a hot prefix say what it would be if it were longer, and those still hot are added
+        grown += 1
+        warm = shared.where(F.size("hot") > 0)
+        longer = text.join(sized(warm, "prefixes"), "key").select("key", "text", "prefixes", "hot").mapInArrow(_longer(window, grown), "key long, cores array<long>").select("key", F.explode("cores").alias("core"))
+        longer = tables(f"longer-{grown}", longer)
+        hot = tables(f"hot-{grown}", longer.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("core"))
+        more = longer.join(sized(hot), "core").groupBy("key").agg(F.collect_set("core").alias("more"))
+        shared = tables(f"shared-{grown}", shared.join(more, "key", "left").select("key", "prefixes", F.concat("hot", F.coalesce("more", F.array().cast("array<long>"))).alias("hot")))
+    once = text.join(shared, "key").select("key", "text", "prefixes", "hot")
+    segments = once.mapInArrow(_segments(window, grown), "core long, key long, start long, words binary, covered array<long>")
+    found = segments.repartition("core").sortWithinPartitions("core").mapInArrow(_trees(window), "key long, covered array<long>")
+    hit = tables("hit", found.groupBy("key").agg(F.flatten(F.collect_list("covered")).alias("places")))
+
+    tables.only("index", "hit")
     changed = keep_ids(rows, hit.select("key"), "key").join(hit, "key").select("id", "text", "places")
-    changed = changed.mapInArrow(_cut(window), "id long, n_words long, n_removed long, sha binary, kept string")
+    changed = changed.mapInArrow(_cut, "id long, n_words long, n_removed long, sha binary, kept string")
     same = index.select("id", "key", "n_words", "sha").join(hit.select("key"), "key", "left_anti")
     if not texts:
         changed = changed.drop("kept")
