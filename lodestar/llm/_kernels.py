@@ -12,7 +12,7 @@ U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _GRAM = U(0xD1342543DE82EF95)
 #: Bytes of text that one slice holds at most; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,17 +35,16 @@ def _inverse(base: U) -> U:
 
 
 _BYTES = mix((np.arange(256, dtype=U) + U(1)) * U(0xA0761D6478BD642F))
-_CACHE: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _tables(base: U, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse, grown by doubling."""
-    size = 1 << max(16, int(n).bit_length())
-    if size > 4 * SLICE_BYTES:
-        return _powers(base, n + 1), _powers(_inverse(base), n + 1)
-    if (key := (int(base), size)) not in _CACHE:
-        _CACHE[key] = _powers(base, size), _powers(_inverse(base), size)
-    return _CACHE[key]
+    """At least n powers of base and of its inverse. One table a base is kept, of the size that a slice needs; a longer document's is dropped after it."""
+    if n > 1 << 19:
+        return _powers(base, n), _powers(_inverse(base), n)
+    if int(base) not in _CACHE:
+        _CACHE[int(base)] = _powers(base, 1 << 19), _powers(_inverse(base), 1 << 19)
+    return _CACHE[int(base)]
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import SMALL_ROWS, keep_ids, stored
+from ._cluster import SMALL_ROWS, Tables, keep_ids
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,37 +46,38 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df.hint("shuffle_merge")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", spans: bool = False):
-    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated; with spans, also (id, start, length, items).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", spans: bool = False, keys: bool = False):
+    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, and with keys row_key, xxhash64(id, text); with spans, also (id, start, length, items).
 
     Words follow WORD after A-Z became a-z; null texts have none. A window is `window` consecutive words of an item;
     an item of fewer words, but not none, is one window. A document word inside an occurrence of a window is hit.
     Items may repeat; a null item_id never counts as an item but its windows do hit. Rows that repeat an id are
     judged each by itself. Empty tables give empty results or no hits; other columns are ignored.
     """
+    tables = Tables(docs.sparkSession, "decontam")
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], docs[text_col]).alias("key"), docs[text_col].alias("text"))
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), words_of(benchmark[item_text_col]).alias("words"))
     items = items.withColumn("n_words", F.size("words").cast("long")).where("n_words > 0")
-    items = stored(items, "items")
+    items = tables("items", items)
 
     # the windows, as whole strings, each with its items
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_words").cast("int") - window))
     windows = items.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, window), " "))).alias("window"))
     windows = windows.groupBy("window").agg(F.collect_set("item").alias("items"))
-    windows = stored(windows.withColumn("size", F.size(F.split("window", " "))), "item-windows")
+    windows = tables("item-windows", windows.withColumn("size", F.size(F.split("window", " "))))
     marks = _fingerprints(items.where(F.col("n_words") >= window), window).select(F.explode("marks").alias("v")).select(F.shiftright("v", _PLACE).alias("mark")).distinct()
-    marks = _sized(stored(marks.withColumn("met", F.lit(True)), "item-marks"))
+    marks = _sized(tables("item-marks", marks.withColumn("met", F.lit(True))))
 
     worded = rows.select("id", "key", words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     marked = _fingerprints(worded, window).select("id", "key", "n_words", F.explode(F.concat("marks", F.array(F.lit(-1).cast("long")))).alias("v"))
     met = marked.withColumn("mark", F.shiftright("v", _PLACE)).join(marks, "mark", "left").where("v = -1 OR met")
-    met = stored(met.select("id", "key", "n_words", "v"), "document-marks")
+    met = tables("marks", met.select("id", "key", "n_words", "v"))
 
     # a window of the document that holds the fingerprint at place p starts between p - (window - GRAM) and p
     k = min(GRAM, max(1, window - 1))
     place = F.col("v").bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
     near = met.where("v <> -1").select("key", F.explode(F.sequence(F.greatest(F.lit(0), place - (window - k)), place)).alias("start"))
-    near = stored(near.groupBy("key").agg(F.collect_set("start").alias("starts")), "document-starts")
+    near = tables("starts", near.groupBy("key").agg(F.collect_set("start").alias("starts")))
     text = keep_ids(rows.select("key", "text"), near.select("key"), "key").dropDuplicates(["key"])
     cut = text.join(near, "key").select("key", words_of(F.col("text")).alias("words"), "starts")
     cut = cut.select("key", F.explode(F.transform(F.filter("starts", lambda s: s + window <= F.size("words")), lambda s: F.struct(s.alias("start"), F.array_join(F.slice("words", s + 1, window), " ").alias("window")))).alias("x"))
@@ -88,18 +89,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
         short = _sized(windows.where(F.col("size") == r["size"]))
         mine = worded.where(F.col("n_words") >= r["size"]).select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - r["size"]), lambda i: F.array_join(F.slice("words", i + 1, r["size"]), " "))).alias("start", "window"))
         hits = hits.unionByName(mine.join(short, "window").select("key", "start", "size", "items").distinct())
-    hits = stored(hits, "document-hits")
+    hits = tables("hits", hits)
 
     spots = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
     step = lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["end"], x["start"]))).cast("long").alias("n"))
     total = F.aggregate("spots", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), step, lambda acc: acc["n"])
     per = hits.groupBy("key").agg(spots.alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     per = per.select("key", total.alias("n_hit"), "items")
-    per = stored(per, "document-items")
+    per = tables("totals", per)
     out = met.where("v = -1").select("id", "key", "n_words").join(per, "key", "left")
     listed = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    out = out.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    out = out.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), *([F.col("key").alias("row_key")] if keys else []))
+    tables.only("marks", "totals", *(["hits"] if spans else []))
     if not spans:
         return out
     named = met.where("v = -1").select("id", "key").distinct().join(hits, "key")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import SMALL_ROWS, stored
+from ._cluster import SMALL_ROWS, Tables
 
 #: Hosts whose wrappers a task holds before it passes them on.
 HELD_HOSTS = 500
@@ -391,13 +391,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     then in one, so a hot host sends a wrapper a task. Pages themselves are shuffled only where the hosts are too many to
     broadcast.
     """
+    tables = Tables(pages.sparkSession, "html")
     host = F.coalesce(F.try_parse_url(pages[url_col], F.lit("HOST")), F.lit(""))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"), host.alias("host"))
     schema = "host string, part string, seen array<long>"
     parts = rows.where(F.trim("html") != "").select("host", "html", F.xxhash64("html")).mapInArrow(_fold_pages, schema)
-    parts = stored(parts.withColumn("deal", F.spark_partition_id() % MERGE_GROUPS), "html-parts")
+    parts = tables("parts", parts.withColumn("deal", F.spark_partition_id() % MERGE_GROUPS))
     parts = parts.groupBy("host", "deal").applyInPandas(_merge, schema)
-    rules = stored(parts.groupBy("host").applyInPandas(_learn, "host string, rule string"), "html-rules")
+    rules = tables("rules", parts.groupBy("host").applyInPandas(_learn, "host string, rule string"))
+    tables.only("rules")
     small = rules.limit(SMALL_ROWS // 20 + 1).count() <= SMALL_ROWS // 20
 
     def run(batches):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._cluster import stored
+from ._cluster import Tables
 
 # Phrases whose words must stand consecutively, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -89,10 +89,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result. Templates are parameters held by the driver; only places that meet one are shuffled.
     """
     spark = docs.sparkSession
+    tables = Tables(spark, "license")
     heads, grams = _templates(BASE if base is None else base, NOTICES if notices is None else notices)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, place long, gram long, said string, n_words long"
-    met = stored(rows.mapInArrow(_meetings(grams), schema), "license-meetings")
+    met = tables("meetings", rows.mapInArrow(_meetings(grams), schema))
 
     places = spark.createDataFrame([g[1:] for g in grams], "gram long, phrase string, template int, spot long")
     head = spark.createDataFrame(heads, "template int, kind string, label string, needed long")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._cluster import SMALL_ROWS, drop_ids, keep_ids, sized, stored
+from ._cluster import SMALL_ROWS, Tables, drop_ids, keep_ids, sized
 
 #: A line is rare if at most this share of documents, or RARE_LEAST documents, hold it; others are joined another way.
 RARE_SHARE = 0.01
@@ -211,31 +211,33 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose lines are all those of an earlier one goes whole, however short. Null texts stay null and empty ones empty; an empty table gives an empty result.
     Columns named like the three added, row_key, places or whole are dropped; all others stay.
     """
+    tables = Tables(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_removed", "kept_text", "row_key", "places", "whole")
     ident, text = docs[id_col], docs[text_col]
     rows = docs.select(F.struct(ident.isNull().alias("none"), ident.cast("long").alias("id"), F.xxhash64(ident, text).alias("h")).alias("key"), text.alias("text"))
     schema = "key struct<none:boolean,id:long,h:long>"
-    index = stored(rows.where("text <> ''").mapInArrow(_index(least), f"{schema}, same binary, lines array<long>"), "line-index")
+    index = tables("index", rows.where("text <> ''").mapInArrow(_index(least), f"{schema}, same binary, lines array<long>"))
     classes = index.where("same IS NOT NULL").groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
-    classes = stored(classes.where("n > 1").select("same", "first"), "line-classes")
-    copies = stored(index.join(sized(classes), "same").where("key <> first").select("key").distinct(), "line-copies")
+    classes = tables("classes", classes.where("n > 1").select("same", "first"))
+    copies = tables("copies", index.join(sized(classes), "same").where("key <> first").select("key").distinct())
     lines = drop_ids(index, copies, "key").select("key", F.explode("lines").alias("line"))
     most = max(rare_least, int(rare_share * index.count()))
     shared = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1")
-    shared = stored(shared.select("line", "first", (F.col("n") > most).alias("often")), "line-shared")
+    shared = tables("shared", shared.select("line", "first", (F.col("n") > most).alias("often")))
     pairs = [lines.join(sized(shared.where(part)), "line").where("key <> first").select(F.col("key").alias("later"), "first", "often") for part in ("NOT often", "often")]
-    pairs = stored(pairs[0].union(pairs[1]).groupBy("later", "first").agg(F.min("often").alias("often")), "line-pairs")
-    held = stored(pairs.select(F.col("later.h").alias("h")).union(pairs.select("first.h")).distinct(), "line-held")
+    pairs = tables("pairs", pairs[0].union(pairs[1]).groupBy("later", "first").agg(F.min("often").alias("often")))
+    held = tables("held", pairs.select(F.col("later.h").alias("h")).union(pairs.select("first.h")).distinct())
     sets = keep_ids(rows.select("key", "text", F.col("key.h").alias("h")), held, "h").select("key", "text").mapInArrow(_sets, f"{schema}, hashes binary").dropDuplicates(["key"])
-    sets = stored(sets, "line-sets")
-    firsts = stored(pairs.where("often").select(F.col("first").alias("key")).distinct(), "line-often")
-    firsts = stored(keep_ids(sets, firsts, "key").toDF("first", "hf"), "line-firsts")
+    sets = tables("sets", sets)
+    firsts = tables("often", pairs.where("often").select(F.col("first").alias("key")).distinct())
+    firsts = tables("firsts", keep_ids(sets, firsts, "key").toDF("first", "hf"))
     few = firsts.agg(F.coalesce(F.sum(F.octet_length("hf")), F.lit(0))).first()[0] <= 80 * SMALL_ROWS
     both = pairs.where("NOT often").join(sets.toDF("first", "hf"), "first").join(sets.toDF("later", "hl"), "later").select("later", "hf", "hl")
     wide = pairs.where("often").join(sets.toDF("later", "hl"), "later").join(F.broadcast(firsts) if few else firsts.hint("shuffle_merge"), "first").select("later", "hf", "hl")
     found = both.union(wide).mapInArrow(_aligned, "later struct<none:boolean,id:long,h:long>, places array<long>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     found = found.select(F.col("later.h").alias("row_key"), "places", F.lit(False).alias("whole")).where(F.size("places") > 0)
-    found = stored(found.union(copies.select("key.h", F.array().cast("array<long>"), F.lit(True))), "line-found")
+    found = tables("found", found.union(copies.select("key.h", F.array().cast("array<long>"), F.lit(True))))
+    tables.only("found")
     keyed = docs.withColumn("row_key", F.xxhash64(ident, text))
     listed = found.select("row_key")
     changed = keep_ids(keyed, listed, "row_key").join(sized(found, "places"), "row_key").drop("row_key")

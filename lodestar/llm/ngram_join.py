@@ -3,11 +3,13 @@
 Sets of at most a boundary size are light: they enumerate their subsets of the size that a linked pair must
 share, so that two light sets meet only if they are linked. Larger sets are heavy: they scan inverted lists of
 their rarest shingles (a prefix long enough that linked sets must meet there). The boundary is chosen by
-comparing the number of subsets with the expected length of the lists scanned. Frequent shingles, found by a
-sketch of fixed size, come last in the order and so hardly ever own a list.
+comparing the number of subsets with the length of the lists scanned, which is measured: shingles that aren't frequent
+by the number of distinct ones. Frequent shingles, found by a sketch of fixed size, come last in the order and so
+hardly ever own a list.
 
-Only classes of equal sets take part. A list links its members to its first one; what that leaves apart is
-compared inside the list by parity sketches, whose distance never exceeds the true difference, nearest first.
+Only classes of equal sets (128 bits and the size agree) take part. A list links its members to its first one; what that
+leaves apart is compared inside the list by parity sketches, whose distance never exceeds the true difference: first each
+member with its nearest, which joins most of what belongs together, then always all whose components still differ.
 Every link counted is verified on the whole sets, and no pair that could link distinct components is left out,
 so components are exact while the pairs handled stay near-linear in a group's size.
 """
@@ -23,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._cluster import components, keep_ids, sized, stored
+from ._cluster import Tables, components, keep_ids, sized
 
 #: Cells of the shingle sketch.
 CELLS = 1 << 20
+#: Least hashes that the number of distinct shingles is estimated from.
+LEAST_HASHES = 1024
 #: No set of more shingles than this is ever light.
 LIGHT_AT_MOST = 14
 #: Members of a list that are compared with one another in one piece; longer lists are cut into blocks.
@@ -71,29 +75,42 @@ def shingles(w: K.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_cells(size: int):
+    """Rows (kind, value, n) of a partition: "cell" counts of at least four times the mean, the "all" count, and its "least" hashes."""
+
     def run(batches):
         total = np.zeros(CELLS, dtype=np.int64)
+        least = np.zeros(0, dtype=K.U)
         for batch in batches:
             for _, _, w in K.hashed(batch.column(0), K.BLANKS, True):
                 h, _ = shingles(w, size)
                 total += np.bincount((h & K.U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                m = K.mix(h)
+                if len(least) == LEAST_HASHES:
+                    m = m[m < least[-1]]
+                least = np.unique(np.concatenate([least, m]))[:LEAST_HASHES]
         n = int(total.sum())
         cells = np.flatnonzero(total >= max(8, 4 * n / CELLS))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1), pa.int64()), pa.array(np.append(total[cells], n), pa.int64())], names=["cell", "n"])
+        kind = ["cell"] * len(cells) + ["all"] + ["least"] * len(least)
+        value = np.concatenate([cells, [-1], (least >> K.U(1)).astype(np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(value, pa.int64()), pa.array(np.concatenate([total[cells], [n], np.zeros(len(least), np.int64)]), pa.int64())], names=["kind", "value", "n"])
 
     return run
 
 
-def frequent_cells(docs: DataFrame, size: int) -> np.ndarray:
-    """Cells of the sketch that hold frequent shingles: a bitmap of CELLS bits, whatever the corpus. Partitions report cells of at least four times their mean."""
-    found = docs.select("text").mapInArrow(_count_cells(size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = found.collect()  # at most CELLS + 1
-    total = next((r.n for r in rows if r.cell == -1), 0)
+def frequent_cells(docs: DataFrame, size: int, tables: Tables) -> tuple[np.ndarray, float]:
+    """Cells of the sketch that hold frequent shingles, a bitmap of CELLS bits whatever the corpus; and the mean length of the other shingles' lists."""
+    found = tables("cells", docs.select("text").mapInArrow(_count_cells(size), "kind string, value long, n long"))
+    rows = found.where("kind <> 'least'").groupBy("kind", "value").agg(F.sum("n").alias("n")).collect()  # at most CELLS + 1
+    least = [r.value for r in found.where("kind = 'least'").select("value").distinct().orderBy("value").limit(LEAST_HASHES).collect()]
+    tables.drop("cells")
+    total = rare = next((r.n for r in rows if r.kind == "all"), 0)
     out = np.zeros(CELLS, dtype=bool)
     for r in rows:
-        if r.cell >= 0 and r.n >= 2 * total / CELLS:
-            out[r.cell] = True
-    return out
+        if r.kind == "cell" and r.n >= 2 * total / CELLS:
+            out[r.value] = True
+            rare -= r.n
+    distinct = len(least) if len(least) < LEAST_HASHES else (LEAST_HASHES - 1) / ((least[-1] + 1) / 2.0**63)
+    return out, max(1.0, rare / max(1.0, distinct))
 
 
 def choose_boundary(sizes: dict[int, int], rule: Rule, list_length: float) -> int:
@@ -260,21 +277,19 @@ def _apart(rule: Rule, nearest: int):
         return found
 
     def pairs(rows):
+        """Pairs of a longer list, as arrays; a pair is met once, from the member with the shorter sketch."""
         ids, comp, n, side, sketch = rows
-        if len(ids) < 2 or (comp == comp[0]).all():
+        if (comp == comp[0]).all():
             return
         left, right = side != 2, side != 1
         words = np.array([len(s) // 8 for s in sketch])
-        out = set()
         for m in np.unique(words):  # fold what is longer than the shorter partner of each pair
-            group = np.flatnonzero(words == m)
-            longer = np.flatnonzero(words >= m)
-            near = np.flatnonzero(words[longer] <= 4 * m)
-            longer = longer[near]
+            longer = np.flatnonzero((words >= m) & (words <= 4 * m))
             table = np.stack([fold(np.frombuffer(sketch[x], K.U), m) for x in longer])
-            mine = {int(x): k for k, x in enumerate(longer)}
-            for x in group:
-                ok = comp[longer] != comp[x]
+            for at_x, x in enumerate(longer):
+                if words[x] != m:
+                    continue
+                ok = (comp[longer] != comp[x]) & ((words[longer] > m) | (longer > x))
                 if side[x] != 0:
                     ok &= (right if side[x] == 1 else left)[longer]
                 lo, hi = np.minimum(n[longer], n[x]), np.maximum(n[longer], n[x])
@@ -282,55 +297,62 @@ def _apart(rule: Rule, nearest: int):
                 at = np.flatnonzero(ok)
                 if not len(at):
                     continue
-                d = np.bitwise_count(table[at] ^ table[mine[int(x)]]).sum(axis=1)
+                d = np.bitwise_count(table[at] ^ table[at_x]).sum(axis=1)
                 fine = d <= n[x] + n[longer[at]] - 2 * rule.overlap(n[x], n[longer[at]])
                 at, d = at[fine], d[fine]
                 if nearest and len(at) > nearest:
                     at = at[np.argpartition(d, nearest)[:nearest]]
-                for y in longer[at]:
-                    p, q = int(ids[x]), int(ids[y])
-                    out.add((p, q) if p < q else (q, p))
-        yield from out
-
-    def run(batches):
+                other = ids[longer[at]]
+                yield np.minimum(other, ids[x]), np.maximum(other, ids[x])
+
+    def close(held):
+        if len(held) <= FEW:
+            found = few(held)
+            if found:
+                yield tuple(np.array(x) for x in zip(*found))
+        else:
+            ids, comp, n, side, sketch = zip(*held)
+            yield from pairs((np.array(ids), np.array(comp), np.array(n), np.array(side), sketch))
+
+    def closed(batches):
         held, mark = [], None
-        found: list = []
-
-        def close():
-            if len(held) <= FEW:
-                found.extend(few(held))
-            else:
-                ids, comp, n, side, sketch = zip(*held)
-                found.extend(pairs((np.array(ids), np.array(comp), np.array(n), np.array(side), sketch)))
-
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             for key, ba, bb, *row in zip(*columns):
                 if (key, ba, bb) != mark:
-                    close()
+                    yield from close(held)
                     held, mark = [], (key, ba, bb)
-                    if len(found) >= 10_000:
-                        yield _pair_batch(found)
-                        found = []
                 held.append(row)
-        close()
-        yield _pair_batch(found)
+        yield from close(held)
+
+    def run(batches):
+        found, n = [], 0
+        for a, b in closed(batches):
+            found.append((a, b))
+            n += len(a)
+            if n >= 20_000:
+                yield _pair_batch(found)
+                found, n = [], 0
+        if n:
+            yield _pair_batch(found)
 
     return run
 
 
 def _pair_batch(found):
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False):
-    """One row per row of docs: id, n_shingles, component_id; with pairs, also the verified links found.
+def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False, keys: bool = False):
+    """One row per row of docs: id, n_shingles, component_id, and with keys row_key and keep_key; with pairs, also the verified links found.
 
     A-Z become a-z; words are [^\\x20\\x09-\\x0D]+; a set holds the distinct shingles of `size` words, or the whole
     sequence if there are fewer words. Sets link when 100 * intersection >= percent * union. component_id is the
     smallest id that links reach. Null and empty texts have no set and are their own component. Rows with
-    equal sets are linked. Ids are integers; a row with a null id gets a null component and joins no group.
-    Rows that repeat an id are documents of their own.
+    equal sets are linked. Ids are integers; a row with a null id takes part, and component_id is null where no id is
+    reached. Rows that repeat an id are documents of their own. row_key is xxhash64(id, text), alike for equal rows only;
+    keep_key is that of the row with the smallest id of the component (null ids last, then the smallest key).
     An empty table gives an empty result; other columns of docs are ignored.
 
     The links returned connect the components; pairs inside a component that follow from others are not all listed.
@@ -338,68 +360,70 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     rule = Rule(percent)
     # a row is known by a hash of its id and text; equal rows are one and share their set
     rows = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(docs[id_col].cast("long"), docs[text_col]).alias("id"), docs[text_col].alias("text"))
-    frequent = frequent_cells(rows, size)
+    tables = Tables(docs.sparkSession, "join")
+    frequent, list_length = frequent_cells(rows, size, tables)
     # light sets have few words: their sizes follow from a cheap bound, so the histogram is at most LIGHT_AT_MOST rows
     short = rows.where(F.length("text") <= 400).select(F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")).alias("w")).where(F.col("w").between(1, LIGHT_AT_MOST + size)).groupBy("w").count().collect()
     sizes: dict[int, int] = {}
     for r in short:
         n = max(1, r.w - size + 1)
         sizes[n] = sizes.get(n, 0) + r["count"]
-    boundary = choose_boundary(sizes, rule, list_length=4.0)
+    boundary = choose_boundary(sizes, rule, list_length)
 
-    features = stored(rows.mapInArrow(_features(size, frequent, rule, boundary), "doc long, id long, n long, s1 long, s2 long, keys array<long>, sketch binary"), "join-features")
-    named = features.where("n > 0 AND doc IS NOT NULL")
-    first = F.min(F.struct("doc", "id"))
-    classes = stored(named.groupBy("s1", "s2", "n").agg(first["doc"].alias("least"), first["id"].alias("rep")), "join-classes")
+    features = tables("features", rows.mapInArrow(_features(size, frequent, rule, boundary), "doc long, id long, n long, s1 long, s2 long, keys array<long>, sketch binary"))
+    named = features.where("n > 0")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id"))
+    classes = tables("classes", named.groupBy("s1", "s2", "n").agg(first.alias("least"), first["id"].alias("rep")))
 
     reps = classes.select(F.col("rep").alias("id"), "s1", "s2", "n")
     own = named.join(reps, ["id", "s1", "s2", "n"], "left_semi").select("id", "n", "keys", "sketch").dropDuplicates(["id"])
     postings = own.select("id", "n", F.explode("keys").alias("key")).repartition("key")
     lists = postings.withColumn("m", F.expr("count(1) OVER (PARTITION BY key)")).where("m > 1")
     lists = lists.withColumn("leader", F.expr("min(struct(n, id)) OVER (PARTITION BY key)").getField("id"))
-    lists = stored(lists, "join-lists")
-    listed = stored(lists.select("id").distinct(), "join-listed")
-    sketches = stored(own.select("id", "n", "sketch").join(listed, "id", "left_semi"), "join-sketches")
+    lists = tables("lists", lists)
+    listed = tables("listed", lists.select("id").distinct())
+    sketches = tables("sketches", own.select("id", "n", "sketch").join(listed, "id", "left_semi"))
 
     def linked(candidates: DataFrame, name: str) -> DataFrame:
         """The candidates (a < b) that are links."""
         left = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         sifted = candidates.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-        sifted = stored(sifted.mapInArrow(_sifted(rule), "a long, b long"), f"join-sifted-{name}")
-        ids = stored(sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct(), f"join-ids-{name}")
+        sifted = tables(f"sifted-{name}", sifted.mapInArrow(_sifted(rule), "a long, b long"))
+        ids = tables(f"ids-{name}", sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct())
         sets = keep_ids(rows.select("id", "text"), ids, "id").mapInArrow(_sets(size, frequent), "id long, tokens binary").dropDuplicates(["id"])
-        sets = stored(sets, f"join-sets-{name}")
+        sets = tables(f"sets-{name}", sets)
         both = sets.toDF("a", "ta").join(sized(sifted), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return stored(both.mapInArrow(_verified(rule), "a long, b long"), f"join-links-{name}")
+        return tables(f"links-{name}", both.mapInArrow(_verified(rule), "a long, b long"))
 
     star = lists.where("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     links = linked(star, "star")
     for name, nearest in (("near", 3), ("rest", 0)):
-        comp = components(links, f"join-{name}")
+        comp = components(links, tables, f"comp-{name}")
         # pairs with a list's leader are tested already
         tagged = lists.where("m > 2 AND id <> leader").select("key", "id", "n", "m").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        tagged = stored(tagged, f"join-tagged-{name}")
+        tagged = tables(f"tagged-{name}", tagged)
         mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        mixed = stored(mixed, f"join-mixed-{name}")
+        mixed = tables(f"mixed-{name}", mixed)
         rest = tagged.join(mixed, "key").join(sketches.select("id", "sketch"), "id")
-        found = _blocks(rest).mapInArrow(_apart(rule, nearest), "a long, b long").distinct()
-        more = linked(stored(found, f"join-found-{name}"), name)
-        if more.limit(1).count() == 0:
-            break
-        links = stored(links.union(more).distinct(), f"join-all-{name}")
-    comp = components(links, "join-last").withColumnRenamed("id", "rep")
+        found = tables(f"found-{name}", _blocks(rest).mapInArrow(_apart(rule, nearest), "a long, b long").distinct())
+        links = tables(f"all-{name}", links.union(linked(found, name)).distinct())
+        tables.drop(f"tagged-{name}", f"mixed-{name}", f"found-{name}")
+    comp = components(links, tables, "comp-last").withColumnRenamed("id", "rep")
     # links join rows; a component is named by the least id of its classes
     reached = classes.join(comp, "rep", "left").select("s1", "s2", "n", "least", F.coalesce("component", "rep").alias("component"))
-    reached = stored(reached, "join-reached")
-    least = stored(reached.groupBy("component").agg(F.min("least").alias("component_id")), "join-least")
-    reached = stored(reached.join(least, "component").select("s1", "s2", "n", "component_id"), "join-named")
-    result = features.select("doc", "n", "s1", "s2").join(reached, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component_id"))).otherwise(F.col("doc"))
-    result = result.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    reached = tables("reached", reached)
+    least = tables("least", reached.groupBy("component").agg(F.min("least").alias("least")))
+    reached = tables("named", reached.drop("least").join(least, "component").select("s1", "s2", "n", F.col("least.doc").alias("component_id"), F.col("least.id").alias("keep")))
+    result = features.select("doc", "id", "n", "s1", "s2").join(reached, ["s1", "s2", "n"], "left")
+    some = F.col("n") > 0
+    own = [F.col("id").alias("row_key"), F.when(some, F.col("keep")).otherwise(F.col("id")).alias("keep_key")] if keys else []
+    result = result.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"), *own)
     if not pairs:
+        tables.only("features", "named")
         return result
-    ids = classes.select("rep", "least")
+    tables.only("features", "named", "classes", "all-rest")
+    ids = classes.select("rep", F.col("least.doc").alias("least"))
     named_links = links.join(ids.toDF("a", "first"), "a").join(ids.toDF("b", "second"), "b")
     return result, named_links.select(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))
 

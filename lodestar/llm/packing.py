@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import stored
+from ._cluster import Tables
 from ._tokens import encoder
 
 
@@ -127,14 +127,15 @@ def pack(docs: DataFrame, vocabulary: str, tokens: int = 1024, end: int = 2, doc
 
     The driver holds the histogram of lengths and the plan on it, both bounded by `tokens`. Texts are never shuffled.
     """
+    tables = Tables(docs.sparkSession, "packing")
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     pieces = rows.mapInArrow(_pieces(vocabulary, tokens, end), "id long, piece int, start long, length long, ids_crc32 long")
-    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = tables("pieces", pieces.withColumn("row", F.monotonically_increasing_id()))
     pieces = pieces.withColumn("part", F.shiftright("row", 33))
 
     # rank among pieces of a length: those of earlier parts, then the row's place in its own part
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    parts = stored(parts.withColumn("before", F.expr("sum(n) OVER (PARTITION BY length ORDER BY part) - n")), "piece-parts")
+    parts = tables("parts", parts.withColumn("before", F.expr("sum(n) OVER (PARTITION BY length ORDER BY part) - n")))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slots(plan_sequences(counts, tokens, documents, attention, score))
     ranked = pieces.withColumn("place", F.expr("row_number() OVER (PARTITION BY part, length ORDER BY row) - 1"))

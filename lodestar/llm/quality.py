@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._cluster import stored
+from ._cluster import Tables
 
 #: Labelled rows that the fit takes at most, chosen by a hash of the id. Scoring takes every row.
 FIT_ROWS = 200_000
@@ -150,10 +150,10 @@ def _equations(model: Model):
     return run
 
 
-def fit(labelled: DataFrame, seed: int = 7) -> Model:
+def fit(labelled: DataFrame, tables: Tables, seed: int = 7) -> Model:
     """A model of labelled rows (id, x, y); a fifth of them, by a hash of the id, is held back to calibrate. Without rows the score is one half."""
     labelled = labelled.select("id", "x", F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)).alias("h"))
-    labelled = stored(labelled, "quality-labelled")
+    labelled = tables("labelled", labelled)
     total = labelled.count()
     if total > FIT_ROWS:
         labelled = labelled.where(F.col("h") < int((1 << 40) * FIT_ROWS / total))
@@ -185,10 +185,12 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, kee
     and repeated rows are scored each; other columns are ignored; without labels every score is one half. An empty
     table gives an empty result. Only ids, statistics and labels are shuffled, never texts.
     """
-    measured = stored(statistics(docs, id_col, text_col), "quality-statistics")
+    tables = Tables(docs.sparkSession, "quality")
+    measured = tables("statistics", statistics(docs, id_col, text_col))
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).where("y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     rows = measured if learn is None else measured.where(learn)
-    model = fit(rows.join(known, "id"))
+    model = fit(rows.join(known, "id"), tables)
+    tables.only("statistics")
 
     def scored(batches):
         for batch in batches:
@@ -202,7 +204,9 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, kee
 def quality_filter(docs: DataFrame, labels: DataFrame, keep_at: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Rows of docs, all columns, that score at least keep_at under a model of all labelled rows. Defined like quality."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).where("y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
-    model = fit(statistics(docs, id_col, text_col).join(known, "id"))
+    tables = Tables(docs.sparkSession, "quality")
+    model = fit(statistics(docs, id_col, text_col).join(known, "id"), tables)
+    tables.only()
 
     def kept(batches):
         for batch in batches:

@@ -52,11 +52,45 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents"), window=35)
 
 
+ORACLES["op10_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, i, array_to_string(w[i : i + 34], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win WHERE x IN (SELECT x FROM win GROUP BY x HAVING count(*) > 1)
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 @register
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+ORACLES["op1_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS t FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), met AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.t = b.t AND a.r <> b.r GROUP BY ALL
+), links AS (
+  SELECT a, b FROM met JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reach AS (
+  SELECT r, r AS seen FROM d UNION SELECT reach.r, b FROM reach JOIN links ON a = seen
+)
+SELECT d.doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(e.doc_id) AS component_id FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d e ON e.r = seen GROUP BY d.r, d.doc_id
+"""
+
+
 @register
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
