@@ -82,19 +82,75 @@ def test_ngram_join(docs, none):
             x = parent[x]
         return x
 
-    for i, (a, x) in enumerate(sets):
-        for j, (b, y) in enumerate(sets[:i]):
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= 85 * len(x | y):
+    for i, (_, x) in enumerate(sets):
+        for j, (_, y) in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= 85 * len(x | y):
                 parent[find(i)] = find(j)
     least = collections.defaultdict(list)
     for i, (a, _) in enumerate(sets):
         if a is not None:
             least[find(i)].append(a)
-    want = counted((a, len(x), (min(least[find(i)]) if x else a) if a is not None else None) for i, (a, x) in enumerate(sets))
+    want = counted((a, len(x), min(least[find(i)], default=None) if x else a) for i, (a, x) in enumerate(sets))
     assert counted(ngram_join.ngram_join(docs, size=4, percent=85).collect()) == want
     assert ngram_join.ngram_join(none).count() == 0
 
 
+def reached(texts, k, percent):
+    """Component of each text by comparing all pairs."""
+    sets = [frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) for w in (t.split() for t in texts)]
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if label[i] != label[j] and 100 * len(x & y) >= percent * len(x | y):
+                a, b = sorted((label[i], label[j]))
+                label = [a if c == b else c for c in label]
+    return label
+
+
+def test_ngram_join_finds_a_link_behind_nearer_sketches(spark):
+    """One list of 19 sets holds a single link; each partner has three unlinked sets whose sketches are nearer."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    (_, _, w), *_ = ngram_join.K.hashed(ngram_join.pa.array([" ".join(words)]), ngram_join.K.BLANKS, True)
+    token = dict(zip(words, (ngram_join.shingles(w, 1)[0] >> ngram_join.K.U(1)).tolist()))
+    shared = min(words, key=token.get)
+    rest = [x for x in words if x != shared]
+
+    def distance(a, b):
+        x, y = (ngram_join.np.frombuffer(ngram_join.parity_sketch(ngram_join.np.array([token[t] for t in s], dtype=ngram_join.K.U)), ngram_join.K.U) for s in (a, b))
+        return int(ngram_join.np.bitwise_count(x ^ y).sum())
+
+    def changed(of, n, want):
+        while True:
+            out = rng.sample([x for x in of if x != shared], len(of) - 1 - n) + [shared]
+            out += rng.sample([x for x in rest if x not in of], n)
+            if want(distance(of, out)):
+                return out
+
+    first = [shared, *rng.sample(rest, 99)]
+    second = changed(first, 8, lambda d: d == 16)
+    sets = [first, second, *[changed(x, 9, lambda d: d < 16) for x in (first, second) for _ in range(3)]]
+    sets += [[shared, *rng.sample(rest, rng.randrange(86, 99))] for _ in range(11)]
+    texts = [" ".join(x) for x in sets]
+    assert reached(texts, 1, 85) == [0, 0, *range(2, 19)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 19), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs, size=1, percent=85).collect()}
+    assert [got[i] for i in range(19)] == reached(texts, 1, 85)
+
+
+@pytest.mark.parametrize("percent", [60, 85])
+def test_ngram_join_of_hot_lists(spark, monkeypatch, percent):
+    """Many sets over few words meet in long lists, which are cut into blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    rng = random.Random(percent)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(34)], rng.randrange(18, 26))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    out, links = ngram_join.ngram_join(docs, size=1, percent=percent, pairs=True)
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == reached(texts, 1, percent)
+    assert links.count() >= len(texts) - len(set(got.values()))
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_light_sets_meet_when_linked(percent):
     import numpy as np
@@ -335,6 +391,32 @@ def test_wrapper_generalises_to_optional_and_repeated():
     assert html_extract.show(html_extract.generalise(a, b).kids[0]) == "<div>(<p>#TEXT</p>)+(<i>z</i>)?(<u>w</u>)?</div>"
 
 
+@pytest.mark.parametrize("window, group", [(35, 1), (35, 3), (12, 2), (9, 5)])
+def test_substring_with_longer_prefixes(spark, docs, monkeypatch, window, group):
+    """Prefixes that more than `group` suffixes share are made longer, which changes nothing."""
+    rng = random.Random(window)
+    cut = sentence(rng, 300).split()
+    made = [(i, " ".join(cut[rng.randrange(250) :][: rng.randrange(20, 60)] + sentence(rng, 5).split()), *[None] * 7) for i in range(100, 130)]
+    table = docs.unionByName(spark.createDataFrame(made, SCHEMA)).repartition(5)
+    pick = lambda: counted(tuple(r)[:4] for r in substring.repeated_words(table, window).collect())
+    want = pick()
+    monkeypatch.setattr(substring, "GROUP", group)
+    assert pick() == want
+
+
+def test_depths_are_the_longest_repeats():
+    rng = random.Random(2)
+    text = [[rng.randrange(3) for _ in range(rng.randrange(1, 40))] for _ in range(12)]
+    flat, bounds = [x for t in text for x in t], [0]
+    for t in text:
+        bounds.append(bounds[-1] + len(t))
+    suffixes = [t[i:] for t in text for i in range(len(t))]
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = [max(common(a, b) for j, b in enumerate(suffixes) if i != j) for i, a in enumerate(suffixes)]
+    got = substring.depths(substring.np.array(flat, dtype=substring.np.uint64), substring.np.array(bounds))
+    assert got.tolist() == want
+
+
 @pytest.mark.parametrize("window", [1, 5, 35])
 def test_substring(docs, none, window):
     words = [(r[0], (r[1] or "").encode().split()) for r in rows()]
