@@ -1,7 +1,7 @@
 """HTML extraction by union-free regular-expression inference.
 
-The token streams of all pages of a host are aligned one after another, in each task and then the tasks' wrappers. Where they agree the wrapper keeps the
-token; where texts differ it gets a text slot; where tags differ, neighbours of one kind become a repeated group and
+The token streams of all pages of a host are aligned one after another, in each task and then the tasks' wrappers. Where
+they agree the wrapper keeps the token; where texts differ it gets a text slot; where tags differ, neighbours of one kind become a repeated group and
 what only one side has becomes optional. The result is a regular expression without alternatives over nested tags.
 It says which region of a host's pages holds the varying text, and which parts of that region are the same on every
 page; every page of the host is then read by it, and a part is left out only where it equals the wrapper's constant.
@@ -13,6 +13,7 @@ import html as entities
 import json
 import re
 import sys
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -20,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._cluster import SMALL_ROWS, Tables
+from .line_dedup import patience
 
 #: Hosts whose wrappers a task holds before it passes them on.
 HELD_HOSTS = 500
 #: Tasks' wrappers of a host are merged in this many groups first.
 MERGE_GROUPS = 32
+#: Elements nested deeper than this become siblings, as in browsers; their text and signatures stay.
+DEEPEST = 512
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,15 +37,40 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NOT_TEXT = RAW | frozenset("head nav footer aside form button input dialog".split())
+#: Elements that are never left out by a name.
+WHOLE = frozenset("html body main article".split())
 CLOSES_P = BLOCKS - {"br", "html", "body", "caption", "dd", "dt", "legend", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
-# Words in a class, id or role that name what is not an article.
+# Classes, ids and roles that name what is not an article.
 ASIDE_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice notices popup modal newsletter subscribe signup share sharing social related comment comments disqus respond reply replies widget login search toolbar pagination pager skip contentinfo complementary alert".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice notices popup modal newsletter subscribe signup share sharing social related comment comments disqus respond reply replies widget login search toolbar pagination pager skip contentinfo complementary alert masthead topbar".split()
 )
+# Words that may stand beside one of those inside a name (side-menu, ad-box-2), which names the same.
+BESIDE_WORDS = frozenset("site main page left right top bottom bar box list item block area section wrap wrapper container inner outer primary secondary global form links link buttons body content header thread".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none", re.I)
+#: An attribute: its name may hold quotes, and a quote that nothing closes is a plain character.
+_PAIR = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]*+))?"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[\s/]+|{_PAIR})*+)>|([^<]+|<)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^\s>]*+)))?")
+_DIGITS = re.compile(r"[0-9]+")
+
+
+def _names(rest: str) -> tuple[str, bool]:
+    """The classes, id and role among a tag's attributes, with numbers as 0, and whether it is hidden."""
+    found: dict[str, str] = {}
+    for name, x, y, z in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), entities.unescape(x or y or z))
+    hidden = found.get("hidden", "until-found").strip().lower() != "until-found" or "display:none" in found.get("style", "").lower().replace(" ", "")
+    names = " ".join(found[k] for k in ("class", "id", "role") if k in found).lower().split()
+    return _DIGITS.sub("0", " ".join(names)), hidden
+
+
+def _names_aside(names: str) -> bool:
+    """Whether a name is an aside word, or is made of such words and words beside them only."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[-_0]+", name) if x]
+        if name in ASIDE_WORDS or not ASIDE_WORDS.isdisjoint(parts) and ASIDE_WORDS.union(BESIDE_WORDS).issuperset(parts):
+            return True
+    return False
 
 
 class Node:
@@ -58,18 +87,20 @@ class Node:
 
     @property
     def aside(self) -> bool:
-        return self.tag in NOT_TEXT or self.hidden or bool(self.names) and not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", self.names))
+        return self.tag in NOT_TEXT or self.hidden or bool(self.names) and self.tag not in WHOLE and _names_aside(self.names)
 
 
 def parse(source: str) -> Node:
-    """The element tree of a page, however broken; raw elements keep no content."""
+    """The element tree of a page, however broken; raw elements keep no content. A quoted value runs to the next quote, as in browsers."""
+    _deep()
     root = Node("#root")
     stack = [root]
-    at, n = 0, len(source)
+    at, n, closed = 0, len(source), source.rfind(">")
     while at < n:
-        m = _TOKEN.match(source, at)
-        if not m:  # an unclosed tag at the end
+        if at > closed:  # nothing after the last tag can be one
+            stack[-1].kids.append(entities.unescape(source[at:]))
             break
+        m = _TOKEN.match(source, at)
         at = m.end()
         closing, tag, rest, text = m.groups()
         if text is not None:
@@ -86,8 +117,7 @@ def parse(source: str) -> Node:
                     break  # a stray end tag doesn't close its surroundings
         else:
             tag = tag.lower()
-            names = " ".join(" ".join(x or y or z for x, y, z in _NAMED.findall(rest)).lower().split()) if "=" in rest else ""
-            node = Node(tag, names, bool(rest) and bool(_HIDDEN.search(rest)))
+            node = Node(tag, *(_names(rest) if rest.strip() else ("", False)))
             if tag in CLOSES_P:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == "p":
@@ -102,6 +132,8 @@ def parse(source: str) -> Node:
                         break
                     if stack[depth].tag in ("ul", "ol", "dl", "table", "select", "div"):
                         break
+            if len(stack) > DEEPEST:
+                stack.pop()
             stack[-1].kids.append(node)
             if tag in RAW and not rest.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -142,34 +174,9 @@ def generalise(a: Piece, b: Piece) -> Piece:
 
 
 def _aligned(a: list[Piece], b: list[Piece]) -> list[Piece]:
-    """Two lists of parts aligned by their longest common sequence of signatures; what one lacks is optional."""
+    """Two lists of parts aligned by a rising common sequence of signatures, those met once in both first; what one lacks is optional."""
     n, m = len(a), len(b)
-    if [p.sign for p in a] == [p.sign for p in b]:
-        steps = [(x, x) for x in range(n)]
-    elif n * m > 250_000:  # very long runs of unlike parts: matched in order of first meeting
-        where = {}
-        for y, p in enumerate(b):
-            where.setdefault(p.sign, y)
-        steps, low = [], -1
-        for x, p in enumerate(a):
-            y = where.get(p.sign, -1)
-            if y > low:
-                steps.append((x, y))
-                low = y
-    else:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for x in range(n - 1, -1, -1):
-            for y in range(m - 1, -1, -1):
-                best[x][y] = best[x + 1][y + 1] + 1 if a[x].sign == b[y].sign else max(best[x + 1][y], best[x][y + 1])
-        steps, x, y = [], 0, 0
-        while x < n and y < m:
-            if a[x].sign == b[y].sign:
-                steps.append((x, y))
-                x, y = x + 1, y + 1
-            elif best[x + 1][y] >= best[x][y + 1]:
-                x += 1
-            else:
-                y += 1
+    steps = patience([p.sign for p in a], [p.sign for p in b])
     out, i, j = [], 0, 0
     for x, y in [*steps, (n, m)]:
         for p in [*a[i:x], *b[j:y]]:
@@ -194,14 +201,18 @@ def show(piece: Piece) -> str:
     return f"({said}){piece.many}" if piece.many else said
 
 
-def _slots(piece: Piece) -> int:
-    """Text slots of a wrapper, those of repeated groups twice; parts that are no article have none."""
-    tag, _, names = piece.sign.partition(" ")
-    probe = Node(tag, names)
-    if probe.aside:
-        return 0
-    own = int(piece.text is None) + sum(_slots(k) for k in piece.kids)
-    return own * (2 if piece.many == "+" else 1)
+@lru_cache(maxsize=10_000)
+def _aside(sign: str) -> bool:
+    tag, _, names = sign.partition(" ")
+    return Node(tag, names).aside
+
+
+def _slots(piece: Piece, known: dict[int, int]) -> int:
+    """Text slots of a wrapper, those of repeated groups twice; parts that are no article have none. known keeps those of its parts."""
+    if id(piece) not in known:
+        own = 0 if _aside(piece.sign) else int(piece.text is None) + sum([_slots(k, known) for k in piece.kids])
+        known[id(piece)] = own * (2 if piece.many == "+" else 1)
+    return known[id(piece)]
 
 
 def _constant(piece: Piece) -> bool:
@@ -218,22 +229,22 @@ def _may_be_fixed(sign: str) -> bool:
 
 def rule_of(piece: Piece, pages: int) -> dict:
     """How a host's pages are read: the path of signatures to the article, and the parts of it that are the same on every page, as `show` writes them."""
-    path, here = [], piece
+    path, here, slots = [], piece, {}
     named = _named(piece)
     if named:
         path, here = named
     else:
         while True:
-            kids = sorted(((k, _slots(k)) for k in here.kids), key=lambda x: -x[1])
-            if not kids or kids[0][1] * 10 < 6 * max(1, _slots(here)) or kids[0][0].many == "+" or kids[0][0].sign.split(" ")[0] in ("p", "li", "b", "a", "span"):
+            kids = sorted(((k, _slots(k, slots)) for k in here.kids), key=lambda x: -x[1])
+            if not kids or kids[0][1] * 10 < 6 * max(1, _slots(here, slots)) or kids[0][0].many == "+" or kids[0][0].sign.split(" ")[0] in ("p", "li", "b", "a", "span"):
                 break
             here = kids[0][0]
             path.append(here.sign)
-    fixed = [show(k) for k in here.kids if pages >= 3 and _may_be_fixed(k.sign) and k.many == "" and _constant(k) and _says(k)] if _slots(here) else []
+    fixed = [show(k) for k in here.kids if pages >= 3 and _may_be_fixed(k.sign) and k.many == "" and _constant(k) and _says(k)] if _slots(here, slots) else []
     return {"path": path, "fixed": fixed, "shape": show(piece)}
 
 
-def _named(piece: Piece, path: tuple = ()) -> tuple[list, Piece] | None:
+def _named(piece: Piece) -> tuple[list, Piece] | None:
     for tag in ("article", "main"):
         found = _find(piece, tag, [])
         if found:
@@ -244,10 +255,9 @@ def _named(piece: Piece, path: tuple = ()) -> tuple[list, Piece] | None:
 def _find(piece: Piece, tag: str, path: list) -> tuple[list, Piece] | None:
     for k in piece.kids:
         here = [*path, k.sign]
-        own, _, names = k.sign.partition(" ")
-        if Node(own, names).aside:
+        if _aside(k.sign):
             continue
-        if own == tag:
+        if k.sign.split(" ")[0] == tag:
             return here, k
         if found := _find(k, tag, here):
             return found
@@ -285,8 +295,8 @@ class Fold:
 
 
 def _deep() -> None:
-    """Pages may be nested deeper than Python's default allows."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
+    """Walks take a few calls a level of DEEPEST levels, which is more than Python's default allows."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
 
 
 def _fold_pages(batches):
@@ -365,7 +375,7 @@ def read(source: str, rule: dict | None) -> str:
         for k in node.kids:
             if isinstance(k, str):
                 line.append(k)
-            elif k.aside or (k.tag == "header" and not inside) or (depth == 0 and fixed and _may_be_fixed(k.sign) and show(wrapper_of(k)) in fixed):
+            elif k.aside or (k.tag == "header" and not inside) or (inside and k.tag == "article" and _names_aside(k.names)) or (depth == 0 and fixed and _may_be_fixed(k.sign) and show(wrapper_of(k)) in fixed):
                 flush()
             elif k.tag == "br":
                 flush()

@@ -381,6 +381,61 @@ def test_html_blocks_that_few_pages_vary(spark):
     assert got == {k: f"{'Real lead' if k == 33 else 'Read more'} Text {k}" for k in range(40)}
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<article class="post has-sidebar"><p>A b</p></article>', "A b"),
+        ('<body class="no-sidebar search-page"><p>x</p></body>', "x"),
+        ('<div id="social-science"><p>y</p></div>', "y"),
+        ('<div class="site-footer">f</div><div id=comments-2>c</div><div class="side main-menu">m</div>z', "z"),
+        ("<article><p>a<img alt=don't src=x> b</p></article>", "a b"),
+        ('<article><a href="x>one</a> <p class="y">two</p></article>', "two"),
+        ('<article><a href="x>one</a> two</article>', "one two"),
+        ('<p title="class=nav" data-id=nav>t</p>', "t"),
+        ('<article><h1>T</h1><article class="comment">bad</article>ok</article>', "T ok"),
+        ('<p hidden>h</p><p hidden="until-found">u</p><p style="display: none">n</p>q', "u q"),
+        ("<div>" * 5000 + "deep<nav>menu</nav> tail", "deep tail"),
+        ("<b><p>" * 5000 + "x", "x"),
+        ('a < b <a "', 'a < b <a "'),
+    ],
+)
+def test_html_of_odd_pages(source, text):
+    assert html_extract.read(source, None) == text
+    piece = html_extract.wrapper_of(html_extract.parse(source))
+    rule = html_extract.rule_of(html_extract.generalise(piece, html_extract.wrapper_of(html_extract.parse("<div>" * 700 + "x"))), 5)
+    assert len(rule["shape"]) > 4
+
+
+def test_html_deep_pages_of_a_host(spark):
+    made = [(k, "http://deep.example/", f"{'<div>' * 5000}text {k}") for k in range(6)] + [(9, "http://deep.example/", f"<div class='content has-sidebar'><p>{'<i>' * 3000}text 9")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {k: f"text {k}" for k in (*range(6), 9)}
+
+
+def test_html_against_pages_made_from_their_texts(spark):
+    """Pages of several layouts are written around known blocks; what is read back must be those blocks."""
+    rng = random.Random(4)
+    made, want = [], []
+    for k in range(160):
+        blocks = [sentence(rng, rng.randrange(1, 40)) for _ in range(rng.randrange(1, 7))]
+        tags = [rng.choice(["p", "h2", "blockquote", "div", "pre"]) for _ in blocks]
+        body = "".join(f"<{t}>{' '.join(f'<b>{w}</b>' if rng.random() < 0.1 else w.replace(',', '&#44;') for w in x.split())}</{t}>{rng.choice(['', ' ', '<!-- p -->', '<script>1<2</script>'])}" for t, x in zip(tags, blocks))
+        menu, foot = "".join(f"<li><a href=/{i}>go {i}" for i in range(rng.randrange(2, 6))), sentence(rng, 6)
+        host = k % 4
+        if host == 0:
+            page = f"<header>top</header><nav><ul>{menu}</ul></nav><article>{body}</article><footer>{foot}</footer>"
+        elif host == 1:
+            page = f"<div class='wrap'><div class='menu'>{menu}</div><div class='content' id=post-{k}>{body}</div><aside>{foot}</aside></div>"
+        elif host == 2:
+            page = f"<main><div class='share buttons'>Share</div>{body}</main><div id=comments><p>{foot}</p></div>"
+        else:
+            page = f"<table><tr><td class=sidebar>{menu}<td class=text>{body}</table><form><p>{foot}<input></form>"
+        made.append((k, f"https://h{host}.example/{k}", f"<!DOCTYPE html><html><head><title>{foot}</title></head><body>{page}</body></html>"))
+        want.append((k, " ".join(blocks)))
+    got = html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string").repartition(5)).select("page_id", "text").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_packed_wrapper_is_the_same():
     piece = html_extract.wrapper_of(html_extract.parse("<div>a<p>x</p><p>y</p><ul id=u><li>z</ul></div><i>b"))
     assert html_extract.show(html_extract.unpacked(html_extract.packed(piece))) == html_extract.show(piece)
