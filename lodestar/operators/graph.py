@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import vectors as V
+from .cluster import settled
 
 
 def file_node(file_id: Column) -> Column:
@@ -26,9 +27,9 @@ def date_node(day: Column) -> Column:
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    """Edges of pairs (a, b, type, weight) in both directions."""
-    there = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "type", "weight")
-    return there.unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "type", "weight"))
+    """Edges of pairs (a, b, type, weight) in both directions, which reads pairs once."""
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return pairs.select(F.explode(ends).alias("e"), "type", "weight").select("e.src", "e.dst", "type", "weight")
 
 
 def same_folder(files: DataFrame) -> DataFrame:
@@ -70,34 +71,54 @@ def semantic(docs: DataFrame, threshold: float = 0.55, k: int = 8) -> DataFrame:
     return V.neighbours(docs, k, threshold).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("sim").alias("weight"))
 
 
-def shingle_pairs(docs: DataFrame, threshold: float = 0.25, size: int = 5, most: int = 500, hashed: bool = True) -> DataFrame:
-    """(a, b, weight): documents (file_id, text) whose shingle sets overlap by Jaccard >= threshold, a < b.
+#: Sets that hold a shingle and are paired by it in one piece; a longer list is cut into pieces of so many by so many.
+LIST_PIECE = 500
 
-    Equal sets are compared once and then paired by their members. Pairs meet over shingles of at most `most` sets, by
-    their rarest ones: the prefix that a pair at the threshold must share is taken in order of frequency.
-    """
+
+def shingle_classes(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(file_id, rep) of every document (file_id, text) with a shingle, and (rep, s) of each distinct set of shingles, as sorted
+    hashes; rep is the least file_id of the set."""
     sets = docs.select("file_id", T.shingles("text", size).alias("s")).where(F.size("s") > 0)
-    sets = sets.select("file_id", F.array_sort(F.transform("s", lambda x: F.xxhash64(x)) if hashed else F.col("s")).alias("s"))
-    classes = sets.withColumn("c", F.xxhash64("s")).groupBy("c", "s").agg(F.min("file_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    sets = sets.select("file_id", F.array_sort(F.transform("s", lambda x: F.xxhash64(x))).alias("s")).withColumn("c", F.xxhash64("s"))
+    sets = settled(sets, "shingle-sets")
+    classes = settled(sets.groupBy("c", "s").agg(F.min("file_id").alias("rep")), "shingle-classes")
+    return sets.join(classes, ["c", "s"]).select("file_id", "rep"), classes.select("rep", "s")
+
+
+def shingle_pairs(docs: DataFrame, threshold: float = 0.25, size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(a, b, weight): distinct sets of shingles, by their first documents (a < b), that overlap by Jaccard >= threshold; and
+    the membership (file_id, rep) of all documents, whose copies are so not expanded into pairs.
+
+    Two sets at the threshold share one of their rarest shingles, of which as many are taken as the threshold asks for.
+    A shingle pairs the sets that hold it where their sizes and the places of the shingle leave room for enough in
+    common; the list of a frequent shingle is cut into pieces first. Sets are then compared whole.
+    """
+    members, classes = shingle_classes(docs, size)
     terms = classes.select("rep", F.size("s").alias("n"), F.explode("s").alias("t"))
     df = terms.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    rare = terms.join(df, "t").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")))
-    prefix = rare.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df >= 2").select("t", "rep", "n")
-    pairs = prefix.alias("x").join(prefix.alias("y"), "t").where((F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    s = classes.select("rep", "s")
-    scored = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("weight")).where(F.col("weight") >= threshold)
-    member = sets.withColumn("c", F.xxhash64("s")).join(classes.select("c", "s", "rep"), ["c", "s"]).select("file_id", "rep")
-    apart = scored.join(member.toDF("fa", "a"), "a").join(member.toDF("fb", "b"), "b").select("fa", "fb", "weight")
-    same = member.toDF("fa", "rep").join(member.toDF("fb", "rep"), "rep").where("fa < fb").select("fa", "fb", F.lit(1.0).alias("weight"))
-    both = apart.unionByName(same)
-    return both.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "weight")
+    ranked = terms.join(df, "t").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")))
+    prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1))
+    prefix = settled(prefix.select("t", "rep", "n", "at", F.ceil(F.col("df") / LIST_PIECE).cast("int").alias("pieces")), "shingle-prefixes")
+    mine = prefix.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces").cast("long")).cast("int"))
+    left = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    x, y = left.alias("x"), mine.alias("y")
+    room = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    fits = (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold) & (room * (1 + threshold) >= threshold * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.other") == F.col("y.piece"))).where(fits)
+    met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    both = met.join(classes.toDF("a", "sa"), "a").join(classes.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    scored = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("weight")).where(F.col("weight") >= threshold)
+    return scored, members
 
 
 def duplicates(docs: DataFrame, vectors: DataFrame, candidate: float = 0.70, threshold: float = 0.25, size: int = 5) -> DataFrame:
-    """(a, b, cosine, weight): pairs whose vectors are close and whose shingles overlap."""
-    near = V.similarities(vectors.select(F.col("doc_id").alias("query_id"), "v"), vectors).where((F.col("query_id") < F.col("doc_id")) & (F.col("sim") >= candidate))
-    s = docs.select("file_id", T.shingles("text", size).alias("s"))
+    """(a, b, cosine, weight): pairs whose vectors are close and whose shingles overlap, a < b. Closeness proposes, overlap decides."""
+    near = V.similarities(vectors.select(F.col("doc_id").alias("query_id"), "v"), vectors, least=candidate, apart=True).where("query_id < doc_id")
+    near = settled(near, "duplicate-candidates")
+    listed = near.select(F.col("query_id").alias("file_id")).union(near.select("doc_id")).distinct()
+    s = docs.join(listed, "file_id", "left_semi").select("file_id", F.transform(T.shingles("text", size), lambda x: F.xxhash64(x)).alias("s"))
+    s = settled(s, "duplicate-sets")
     pairs = near.join(s.toDF("query_id", "sa"), "query_id").join(s.toDF("doc_id", "sb"), "doc_id")
     return pairs.select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"), F.col("sim").alias("cosine"), T.jaccard(F.col("sa"), F.col("sb")).alias("weight")).where(F.col("weight") >= threshold)
 
@@ -155,15 +176,20 @@ def heaviest(edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, hops: int = 6, types: list[str] | None = None) -> DataFrame:
-    """(source, node, hops, path): a shortest path from each source (id) to every vertex within `hops`; the least path of equals."""
-    e = (edges.where(F.col("type").isin(types)) if types else edges).select("src", "dst").distinct()
-    found = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.array("id").alias("path"))
-    front = found
+    """(source, node, hops, path, steps): a shortest path from each source (id) to every vertex within `hops`, the least of
+    equals; steps are the heaviest edge (type, weight) of each hop. Each round is written, so that none is run again."""
+    e = settled(heaviest(edges.where(F.col("type").isin(types)) if types else edges), "path-edges")
+    kind = "array<struct<type:string,weight:double>>"
+    found = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.array("id").alias("path"), F.array().cast(kind).alias("steps"))
+    front = found = settled(found, "path-0")
     for h in range(1, hops + 1):
-        step = front.join(e, front["node"] == e["src"]).select("source", F.col("dst").alias("node"), F.lit(h).alias("hops"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("source", "node", "hops").agg(F.min("path").alias("path")).join(found.select("source", "node"), ["source", "node"], "left_anti").select(*found.columns)
-        found = found.unionByName(step).checkpoint() if h % 3 == 0 and found.sparkSession.sparkContext.getCheckpointDir() else found.unionByName(step)
-        front = step
+        step = F.struct(F.concat("path", F.array("dst")).alias("path"), F.concat("steps", F.array(F.struct("type", F.col("weight").cast("double").alias("weight")))).cast(kind).alias("steps"))
+        step = front.join(e, front["node"] == e["src"]).select("source", F.col("dst").alias("node"), step.alias("way"))
+        step = step.join(found.select("source", "node"), ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("way").alias("way"))
+        front = settled(step.select("source", "node", F.lit(h).alias("hops"), "way.path", "way.steps"), f"path-{h}")
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
     return found
 
 
@@ -191,26 +217,29 @@ def best_seed_edge(edges: DataFrame, seeds: DataFrame, types: list[str]) -> Data
     return hit.groupBy("query_id", F.col("src").alias("node")).agg(F.max("weight").alias("weight"))
 
 
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, component) of pairs (a, b): the least id reached, by least labels and jumps; each round is written to the checkpoint folder."""
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("a", "b").where("a <> b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")).checkpoint()
-    for _ in range(rounds):
+def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component) of pairs (a, b): the least id reached, by least labels and jumps; each round is a written table."""
+    both = settled(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "component-pairs")
+    labels = settled(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "component-0")
+    for i in range(1, rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("near"))
         jump = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
-        new = lower.join(jump, "near", "left").select("id", "was", F.least("near", F.coalesce("far", "near")).alias("component")).checkpoint()
+        new = settled(lower.join(jump, "near", "left").select("id", "was", F.least("near", F.coalesce("far", "near")).alias("component")), f"component-{i}")
         labels = new.select("id", "component")
         if new.where("was <> component").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 
 
+def members_of(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(file_id, component) of documents that a pair or an equal set links: pairs (a, b) join sets, members (file_id, rep) are their documents."""
+    comp = components(pairs)
+    held = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("file_id", F.coalesce("component", "rep").alias("component"))
+    several = held.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return held.join(several, "component").select("file_id", "component")
+
+
 def picture(edges: DataFrame, vertices: DataFrame, cap: int = 1200) -> tuple[DataFrame, DataFrame]:
     """The `cap` vertices of greatest degree with their position, and the edges among them as positions; the report is that large by definition."""
     top = vertices.join(degrees(edges), "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree")).orderBy(F.col("degree").desc(), "id").limit(cap)

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from . import graph as G
 from . import vectors as V
+from .cluster import settled
 
 WEIGHTS = {"semantic": 0.45, "graph": 0.20, "activity": 0.20, "timeline": 0.15}
 ALWAYS = ("semantic", "entity", "structural", "duplicate")
 FORMAT_BOOST, FORMAT_PENALTY = 1.15, 0.70
 FEEDBACK_MOST = 0.15
 SEEDS, EXPANDED, TOP = 10, 400, 10
-#: The six configurations of the ablation, by the signals they use.
-CONFIGURATIONS = {"semantic_only": ("semantic",), "semantic_graph": ("semantic", "graph"), "semantic_graph_timeline": ("semantic", "graph", "timeline"), "semantic_graph_activity": ("semantic", "graph", "activity"), "full": ("semantic", "graph", "activity", "timeline")}
+#: The configurations of the ablation by the signals they use; the baseline uses none and is the flat search.
+CONFIGURATIONS = {"baseline": (), "semantic_only": ("semantic",), "semantic_graph": ("semantic", "graph"), "semantic_graph_timeline": ("semantic", "graph", "timeline"), "semantic_graph_activity": ("semantic", "graph", "activity"), "full": ("semantic", "graph", "activity", "timeline")}
 
 
 def allowed_types(signals: tuple[str, ...]) -> list[str]:
@@ -90,14 +91,14 @@ def retrieve(queries: DataFrame, docs: DataFrame, edges: DataFrame, files: DataF
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast(kind))
     types = allowed_types(signals)
-    sims = V.similarities(queries.select("query_id", "v"), docs.select("doc_id", "v"))
-    seed = semantic_seeds(sims, seeds)
+    edges = settled(edges.where(F.col("type").isin(types)), "retrieval-edges")
+    seed = semantic_seeds(V.similarities(queries.select("query_id", "v"), docs.select("doc_id", "v"), seeds), seeds)
     times = timeline_scores(queries, timeline) if timeline is not None else None
     if postings is not None:
         seed = seed.union(entity_seeds(queries.where("entities IS NOT NULL"), postings))
     if times is not None:
         seed = seed.union(times.select("query_id", "file_id"))
-    seed = seed.distinct()
+    seed = settled(seed.distinct(), "retrieval-seeds")
     nodes = seed.select("query_id", G.file_node(F.col("file_id")).alias("node"))
     start = nodes
     if members is not None and "activity" in signals:
@@ -106,7 +107,9 @@ def retrieve(queries: DataFrame, docs: DataFrame, edges: DataFrame, files: DataF
     reach = G.two_hops(edges, start, types, expanded).where(F.startswith("node", F.lit("file:")))
     found = reach.select("query_id", F.expr("try_cast(substring(node, 6, 20) AS BIGINT)").alias("file_id"), "hop")
 
-    out = found.join(sims.select("query_id", F.col("doc_id").alias("file_id"), "sim"), ["query_id", "file_id"], "left")
+    # similarities of what was reached only
+    of = found.join(queries.select("query_id", F.col("v").alias("qv")), "query_id").join(docs.select(F.col("doc_id").alias("file_id"), F.col("v").alias("dv")), "file_id", "left")
+    out = of.withColumn("sim", V.dot(F.col("qv"), F.col("dv"))).drop("qv", "dv")
     out = out.join(seed.withColumn("seed", F.lit(True)), ["query_id", "file_id"], "left")
     near = G.best_seed_edge(edges, nodes, types).select("query_id", F.expr("try_cast(substring(node, 6, 20) AS BIGINT)").alias("file_id"), F.col("weight").alias("near")).where("file_id IS NOT NULL")
     out = out.join(near, ["query_id", "file_id"], "left")
@@ -155,8 +158,9 @@ def baseline(queries: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:
     return V.knn(queries, docs, top)
 
 
-def ablation(queries: DataFrame, run) -> DataFrame:
-    """Results of every configuration, with its name; run(signals) gives one configuration's results."""
+def ablation(queries: DataFrame, docs: DataFrame, run) -> DataFrame:
+    """(configuration, query_id, file_id, rank, score) of every configuration; run(signals) gives the results of a set of signals, the baseline is the flat search."""
     from functools import reduce
 
-    return reduce(DataFrame.unionByName, [run(s).withColumn("configuration", F.lit(name)) for name, s in CONFIGURATIONS.items()])
+    found = {name: run(signals) if signals else baseline(queries.select("query_id", "v"), docs).select("query_id", F.col("doc_id").alias("file_id"), "rank", F.col("sim").alias("score")) for name, signals in CONFIGURATIONS.items()}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("configuration"), "query_id", "file_id", "rank", "score") for name, rows in found.items()])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +30,62 @@ def checked(a: Column, dimension: int) -> Column:
     return F.when(F.size(a) == dimension, a).otherwise(F.raise_error(F.lit(f"a vector does not have {dimension} dimensions")))
 
 
-def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
+#: Queries and documents whose products a task forms at once; a block of either side holds about as many rows.
+QUERY_BLOCK, DOC_BLOCK = 1024, 8192
+
+
+def _dealt(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+    """rows with a block number, of about `size` rows each whatever their count, and the number of blocks."""
+    n = max(1, -(-rows.count() // size))
+    return rows.withColumn("mine", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+    width = len(lists[0]) if len(lists) else 0
+    flat = np.asarray(lists.flatten(), dtype=np.float64)
+    if len(flat) != width * len(lists):
+        raise ValueError("vectors differ in dimension")
+    return flat.reshape(len(lists), width)
+
+
+def _products(k: int | None, least: float | None, apart: bool):
+    """(query_id, doc_id, sim) of a block of queries and one of documents; k and least choose as in `similarities`."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, d, out = _matrix(left["qv"]), _matrix(right["dv"]), []
+        ids, others = np.asarray(left["query_id"]), np.asarray(right["doc_id"])
+        order = np.argsort(others, kind="stable")
+        others, d = others[order], d[order]
+        if len(q) and len(d) and q.shape[1] != d.shape[1]:
+            raise ValueError("vectors differ in dimension")
+        for i in range(0, len(q) if len(d) else 0, 256):
+            sims = q[i : i + 256] @ d.T
+            for r, row in enumerate(sims):
+                at = np.arange(len(row)) if least is None else np.flatnonzero(row >= least)
+                at = at[others[at] != ids[i + r]] if apart else at
+                if k is not None and len(at) > k:  # all that tie with the kth stay
+                    at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+                out.append((np.full(len(at), ids[i + r]), others[at], row[at]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2], pa.float64())})
+
+    return run
+
+
+def similarities(queries: DataFrame, docs: DataFrame, k: int | None = None, least: float | None = None, apart: bool = False) -> DataFrame:
     """(query_id, doc_id, sim) of a stated set of queries (query_id, v) against all docs (doc_id, v), by dot product of unit vectors.
 
-    Queries are dealt to blocks so that each task holds one block of them against its share of the docs.
+    Both sides are dealt to blocks by a hash, as many as their counts ask for, and each pair of blocks is one matrix
+    product. With k, only a query's k best in each block leave the task (and what ties with the last); with least, only
+    similarities of at least that; apart leaves out a row's similarity with itself. Rows without a vector take no part.
     """
-    blocks = 8
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
-    d = docs.select("doc_id", F.col("v").alias("dv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = d.join(q, "block").select("doc_id", "dv", F.explode("qs").alias("q"))
-    return pairs.select(F.col("q.query_id").alias("query_id"), "doc_id", dot(F.col("q.v"), F.col("dv")).alias("sim"))
+    q, nq = _dealt(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").alias("qv")).where("qv IS NOT NULL"), "query_id", QUERY_BLOCK)
+    d, nd = _dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("v").alias("dv")).where("dv IS NOT NULL"), "doc_id", DOC_BLOCK)
+    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(nd - 1)))).withColumn("cell", F.col("mine") * nd + F.col("cell"))
+    d = d.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("cell", F.col("cell") * nd + F.col("mine"))
+    return q.drop("mine").groupBy("cell").cogroup(d.drop("mine").groupBy("cell")).applyInArrow(_products(k, least, apart), "query_id long, doc_id long, sim double")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "sim", group: str = "query_id", tie: str = "doc_id") -> DataFrame:
@@ -46,13 +95,12 @@ def top_k(scored: DataFrame, k: int, by: str = "sim", group: str = "query_id", t
 
 
 def knn(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    return top_k(similarities(queries, docs), k)
+    return top_k(similarities(queries, docs, k), k)
 
 
 def neighbours(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """(src, dst, sim): each vector's k best others at or above a threshold."""
-    q = docs.select(F.col("doc_id").alias("query_id"), "v")
-    sims = similarities(q, docs).where((F.col("query_id") != F.col("doc_id")) & (F.col("sim") >= threshold))
+    sims = similarities(docs.select(F.col("doc_id").alias("query_id"), "v"), docs, k, threshold, apart=True)
     return top_k(sims, k).select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst"), "sim")
 
 
@@ -64,7 +112,16 @@ def mean_pool(chunks: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def hashed_terms(text: Column, dimension: int = 384) -> Column:
-    """A unit vector of term counts in hashed positions: the embedding that needs no model."""
+    """A unit vector of term counts in hashed positions: the embedding that needs no model. Null texts have no vector."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
     spots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
-    return unit(let(spots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))))
+
+    @F.pandas_udf("array<double>")
+    def counted(spots: pd.Series) -> pd.Series:
+        out = []
+        for s in spots:
+            counts = None if s is None else np.bincount(s, minlength=dimension).astype(float)
+            out.append(counts if counts is None or not counts.any() else counts / np.sqrt(counts @ counts))
+        return pd.Series(out)
+
+    return counted(spots)

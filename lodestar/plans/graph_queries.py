@@ -15,6 +15,7 @@ from ..operators import retrieval as R
 from ..operators import sessions as S
 from ..operators import store, tree
 from ..operators import vectors as V
+from ..operators.cluster import settled
 from .store_queries import FEEDBACK, feedback
 from .tables import ENTITIES, FILES, MENTIONS, VECTORS, entities, files, mentions, query, table, vectors
 
@@ -95,29 +96,46 @@ def _texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
 
 
-@query(f"WITH {_SHINGLES} SELECT a, b, round(weight, 5) AS weight FROM dup")
+_SETS = f"""{_SHINGLES}, sets AS (SELECT doc_id, list_sort(list(t)) AS s FROM s GROUP BY 1), c AS (SELECT s, min(doc_id) AS rep FROM sets GROUP BY 1), m AS (SELECT doc_id, rep FROM sets JOIN c USING (s))"""
+
+
+@query(f"""WITH {_SETS} SELECT 'pair' AS kind, a, b, round(weight, 5) AS weight FROM dup WHERE a IN (SELECT rep FROM c) AND b IN (SELECT rep FROM c)
+  UNION ALL SELECT 'copy', rep, doc_id, 1.0 FROM m WHERE rep <> doc_id""")
 def shingle_jaccard(spark, sf_dir):
-    return G.shingle_pairs(_texts(spark, sf_dir), 0.25).select("a", "b", F.round("weight", 5).alias("weight"))
+    """Pairs of distinct sets, and of each further document of a set with its first."""
+    pairs, members = G.shingle_pairs(_texts(spark, sf_dir), 0.25)
+    pairs = pairs.select(F.lit("pair").alias("kind"), "a", "b", F.round("weight", 5).alias("weight"))
+    return pairs.unionByName(members.where("rep <> file_id").select(F.lit("copy").alias("kind"), F.col("rep").alias("a"), F.col("file_id").alias("b"), F.lit(1.0).alias("weight")))
 
 
 @query(f"""WITH RECURSIVE {_SHINGLES}, e AS (SELECT a, b FROM dup UNION ALL SELECT b, a FROM dup), r AS (SELECT DISTINCT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
   SELECT id, min(seen) AS component FROM r GROUP BY 1""")
 def dup_components(spark, sf_dir):
-    return G.components(G.shingle_pairs(_texts(spark, sf_dir), 0.25))
+    return G.members_of(*G.shingle_pairs(_texts(spark, sf_dir), 0.25)).withColumnRenamed("file_id", "id")
 
 
 @query(f"""WITH RECURSIVE {_SHINGLES}, e AS (SELECT a, b FROM dup UNION ALL SELECT b, a FROM dup), r AS (SELECT DISTINCT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
-  c AS (SELECT id, min(seen) AS component FROM r GROUP BY 1), m AS (SELECT component, doc_id, n_chars FROM c JOIN documents ON id = doc_id)
-  SELECT component, count(*) AS files, CAST(sum(n_chars) - max(n_chars) AS BIGINT) AS wasted, arg_max(doc_id, n_chars * 1000000 - doc_id) AS keeper FROM m GROUP BY 1""")
+  c AS (SELECT id, min(seen) AS component FROM r GROUP BY 1), m AS (SELECT component, doc_id, n_chars FROM c JOIN documents ON id = doc_id), mean AS (SELECT component, avg(weight) AS similarity FROM dup JOIN c ON a = id GROUP BY 1)
+  SELECT component, count(*) AS files, CAST(sum(n_chars) - max(n_chars) AS BIGINT) AS wasted, arg_max(doc_id, n_chars * 1000000 - doc_id) AS keeper, round(any_value(similarity), 5) AS similarity FROM m JOIN mean USING (component) GROUP BY 1""")
 def duplicate_groups(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     f = d.select(F.col("doc_id").alias("file_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("n_chars").alias("size"), F.lit("2024-01-01").cast("date").alias("mtime"))
-    return I.duplicate_groups(G.shingle_pairs(_texts(spark, sf_dir), 0.25), f).select("component", "files", "wasted", F.col("keeper").cast("long").alias("keeper"))
+    pairs, members = G.shingle_pairs(_texts(spark, sf_dir), 0.25)
+    return I.duplicate_groups(pairs, f, members).select("component", "files", "wasted", F.col("keeper").cast("long").alias("keeper"), F.round("similarity", 5).alias("similarity"))
+
+
+@query(f"""WITH {VECTORS}, {_SHINGLES}, v AS (SELECT doc_id, v FROM documents JOIN vectors ON vec_id = n_chars // 40 % 500), near AS (SELECT x.doc_id AS a, y.doc_id AS b, list_dot_product(x.v, y.v) AS sim FROM v x JOIN v y ON x.doc_id < y.doc_id)
+  SELECT a, b, round(sim, 5) AS cosine, round(weight, 5) AS weight FROM near JOIN dup USING (a, b) WHERE sim >= 0.70""")
+def near_duplicates(spark, sf_dir):
+    """Closeness of vectors proposes pairs, overlap of shingles decides; documents of like length have one vector here."""
+    d, of = table(spark, sf_dir, "documents"), F.floor(F.col("n_chars") / 40) % 500
+    v = d.select("doc_id", of.alias("of")).join(vectors(spark, sf_dir).select(F.col("doc_id").alias("of"), "v"), "of").select("doc_id", "v")
+    return G.duplicates(_texts(spark, sf_dir), v).select("a", "b", F.round("cosine", 5).alias("cosine"), F.round("weight", 5).alias("weight"))
 
 
 def _edges(spark, sf_dir):
     pairs = G.semantic(vectors(spark, sf_dir), NEAR).select(G.file_node(F.col("a")).alias("a"), G.file_node(F.col("b")).alias("b"), F.lit("semantic").alias("type"), "weight")
-    return G.both_ways(pairs)
+    return settled(G.both_ways(pairs), "edges")
 
 
 _BOTH = f"{_EDGE}, edges AS (SELECT 'file:' || a AS src, 'file:' || b AS dst, 'semantic' AS type, sim AS weight FROM near UNION ALL SELECT 'file:' || b, 'file:' || a, 'semantic', sim FROM near)"
@@ -158,6 +176,18 @@ def shortest_path(spark, sf_dir):
     return G.shortest_paths(_edges(spark, sf_dir), source, hops=4).select("node", "hops")
 
 
+@query(f"""WITH {_BOTH}, many AS (SELECT src, dst, type, weight FROM edges UNION ALL SELECT src, dst, 'entity', 1 - weight FROM edges UNION ALL SELECT src, dst, 'structural', 0.5 FROM edges WHERE dst LIKE '%1'),
+  best AS (SELECT src, dst, max(weight) AS w FROM many GROUP BY 1, 2), one AS (SELECT dst AS node, ['file:0', dst] AS path, [w] AS weights FROM best WHERE src = 'file:0'),
+  two AS (SELECT b.dst AS node, list_append(path, b.dst) AS path, list_append(weights, b.w) AS weights FROM one JOIN best b ON b.src = one.node WHERE b.dst <> 'file:0' AND b.dst NOT IN (SELECT node FROM one) QUALIFY row_number() OVER (PARTITION BY b.dst ORDER BY one.node) = 1)
+  SELECT node, array_to_string(path, '>') AS path, list_transform(weights, lambda x: round(x, 5)) AS weights FROM (SELECT * FROM one UNION ALL SELECT * FROM two)""")
+def explained_paths(spark, sf_dir):
+    """Shortest paths with the heaviest edge of each hop, where several kinds of edge run side by side."""
+    e = _edges(spark, sf_dir)
+    many = e.unionByName(e.withColumns({"type": F.lit("entity"), "weight": 1 - F.col("weight")})).unionByName(e.where("dst LIKE '%1'").withColumns({"type": F.lit("structural"), "weight": F.lit(0.5)}))
+    found = G.shortest_paths(many, spark.createDataFrame([("file:0",)], "id string"), hops=2).where("hops > 0")
+    return found.select("node", F.array_join("path", ">").alias("path"), F.transform("steps", lambda s: F.round(s["weight"], 5)).alias("weights"))
+
+
 _SEED = f"""{_BOTH}, q AS (SELECT vec_id AS query_id, v FROM vectors WHERE vec_id % 50 = 0), sims AS (SELECT query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) AS sim FROM q, vectors d),
   seeds AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS nth FROM sims WHERE sim > 0) WHERE nth <= 5),
   h0 AS (SELECT query_id, 'file:' || doc_id AS node FROM seeds), h1 AS (SELECT query_id, dst AS node, max(weight) AS w FROM h0 JOIN edges ON src = node GROUP BY 1, 2),
@@ -168,7 +198,7 @@ _SEED = f"""{_BOTH}, q AS (SELECT vec_id AS query_id, v FROM vectors WHERE vec_i
 
 
 def _seeds(spark, sf_dir):
-    seeds = R.semantic_seeds(V.similarities(_queries(spark, sf_dir), vectors(spark, sf_dir)), 5)
+    seeds = R.semantic_seeds(V.similarities(_queries(spark, sf_dir), vectors(spark, sf_dir), 5), 5)
     return seeds.select("query_id", G.file_node(F.col("file_id")).alias("node"))
 
 
@@ -206,7 +236,33 @@ def _context(spark, sf_dir):
     return q, d, f, t, m, fb
 
 
-@query()
+def _hybrid_sql(signals: str) -> str:
+    """Common tables that rank a query set by some of the signals, by the letters s, g, a, t; `ranked` holds the ten best of each query before feedback."""
+    activity, timeline = "a" in signals, "t" in signals
+    weight = {"s": "0.45", "g": "0.20" if "g" in signals else "0", "a": "CASE WHEN cue > 0 THEN 0.20 ELSE 0 END" if activity else "0", "t": "CASE WHEN dated THEN 0.15 ELSE 0 END" if timeline else "0"}
+    return f"""{_BOTH}, q AS (SELECT vec_id AS query_id, v, vec_id % 100 = 50 AS dated, CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS cue, vec_id % 250 = 0 AS md FROM vectors WHERE vec_id % 50 = 0),
+  sims AS (SELECT query_id, d.vec_id AS file_id, list_dot_product(q.v, d.v) AS sim FROM q, vectors d), m AS (SELECT vec_id AS file_id, 'session:' || vec_id % 25 AS session_id FROM vectors),
+  day AS (SELECT vec_id AS file_id, DATE '2024-01-01' + CAST(vec_id % 366 AS INTEGER) AS day, (vec_id % 7 + 3) / 10.0 AS score FROM vectors),
+  times AS (SELECT query_id, file_id, least(1.0, max(score)) AS t FROM q JOIN day ON dated AND day BETWEEN DATE '2024-02-01' AND DATE '2024-03-31' GROUP BY 1, 2),
+  seeds AS (SELECT query_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, file_id) AS nth FROM sims WHERE sim > 0) WHERE nth <= 5 UNION SELECT query_id, file_id FROM times),
+  step AS (SELECT src, dst, max(weight) AS w FROM (SELECT src, dst, weight FROM edges {"UNION ALL SELECT 'file:' || file_id, session_id, 0.9 FROM m UNION ALL SELECT session_id, 'file:' || file_id, 0.9 FROM m" if activity else ""}) GROUP BY 1, 2),
+  held AS (SELECT query_id, 'file:' || file_id AS node FROM seeds), h0 AS (SELECT * FROM held {"UNION SELECT query_id, session_id FROM seeds JOIN m USING (file_id)" if activity else ""}),
+  h1 AS (SELECT query_id, dst AS node, max(w) AS w FROM h0 JOIN step ON src = node WHERE (query_id, dst) NOT IN (SELECT query_id, node FROM h0) GROUP BY 1, 2),
+  h2 AS (SELECT query_id, dst AS node, max(step.w) AS w FROM h1 JOIN step ON src = node WHERE (query_id, dst) NOT IN (SELECT query_id, node FROM h0) AND (query_id, dst) NOT IN (SELECT query_id, node FROM h1) GROUP BY 1, 2),
+  found AS (SELECT query_id, CAST(substr(node, 6) AS BIGINT) AS file_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, w DESC, node) AS nth FROM (SELECT query_id, node, 0 AS hop, 1.0 AS w FROM h0 UNION ALL SELECT query_id, node, 1, w FROM h1 UNION ALL SELECT query_id, node, 2, w FROM h2)) WHERE nth <= 400 AND node LIKE 'file:%'),
+  close AS (SELECT query_id, src AS node, max(w) AS w FROM step JOIN held ON dst = node GROUP BY 1, 2), sized AS (SELECT session_id, count(*) AS size FROM m GROUP BY 1),
+  part AS (SELECT query_id, session_id, count(DISTINCT file_id) AS seeded FROM seeds JOIN m USING (file_id) GROUP BY 1, 2),
+  act AS (SELECT query_id, m.file_id, least(1.0, max((0.5 + 0.5 * least(1.0, seeded / size)) * (1 + 0.4 * cue))) AS a FROM part JOIN sized USING (session_id) JOIN q USING (query_id) JOIN m USING (session_id) GROUP BY 1, 2),
+  sig AS (SELECT query_id, file_id, greatest(0.0, sim) AS s, CASE WHEN seeds.file_id IS NOT NULL THEN 1.0 ELSE coalesce(close.w, 0.0) END AS g, coalesce(a, 0.0) AS a, coalesce(t, 0.0) AS t, {weight["s"]} AS ws, {weight["g"]} AS wg, {weight["a"]} AS wa, {weight["t"]} AS wt,
+    CASE WHEN NOT md THEN 1.0 WHEN file_id % 3 = 0 THEN 1.15 ELSE 0.70 END AS fit, md, seeds.file_id IS NOT NULL AS seed
+    FROM found JOIN sims USING (query_id, file_id) JOIN q USING (query_id) LEFT JOIN seeds USING (query_id, file_id) LEFT JOIN close ON close.query_id = found.query_id AND close.node = 'file:' || found.file_id LEFT JOIN times USING (query_id, file_id) LEFT JOIN act USING (query_id, file_id)),
+  scored AS (SELECT *, ws * s / (ws + wg + wa + wt) AS cs, wg * g / (ws + wg + wa + wt) AS cg, wa * a / (ws + wg + wa + wt) AS ca, wt * t / (ws + wg + wa + wt) AS ct, least(1.0, (ws * s + wg * g + wa * a + wt * t) / (ws + wg + wa + wt) * fit) AS base FROM sig)"""
+
+
+@query(f"""WITH {_hybrid_sql("sgat")}, {FEEDBACK}, net AS (SELECT query_norm, file_id, sum(CASE WHEN event = 'reject' THEN -weight ELSE weight END) AS net FROM feedback GROUP BY 1, 2),
+  boosted AS (SELECT scored.*, greatest(0.0, base + CASE WHEN net IS NULL THEN 0.0 ELSE 0.15 * net / (1 + abs(net)) END) AS score FROM scored LEFT JOIN net ON query_norm = CAST(query_id AS VARCHAR) AND net.file_id = scored.file_id WHERE base > 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS nth, greatest(cs, cg, ca, ct) AS top, (s > 0)::INTEGER + (g > 0)::INTEGER + (a > 0)::INTEGER + (t > 0)::INTEGER + md::INTEGER AS why FROM boosted)
+  SELECT query_id, file_id, CAST(nth AS INTEGER) AS rank, round(score, 5) AS score, CASE WHEN top <= 0 THEN NULL WHEN top = cs THEN 'semantic' WHEN top = cg THEN 'graph' WHEN top = ca THEN 'activity' ELSE 'timeline' END AS dominant, CAST(why AS INTEGER) AS reasons, why > 0 AS complete FROM r WHERE nth <= 10""")
 def hybrid_full(spark, sf_dir):
     """All four signals, formats and feedback, with the arithmetic of every score."""
     q, d, f, t, m, fb = _context(spark, sf_dir)
@@ -236,7 +292,7 @@ def timeline_score(spark, sf_dir):
   SELECT query_id, file_id, round(least(1.0, (0.5 + 0.5 * least(1.0, seeded / size)) * (1 + 0.4 * CASE WHEN query_id % 3 = 0 THEN 1 ELSE 0 END)), 5) AS activity FROM s JOIN n USING (session_id) JOIN m USING (session_id)""")
 def activity_score(spark, sf_dir):
     q, d, _, _, m, _ = _context(spark, sf_dir)
-    seeds = R.semantic_seeds(V.similarities(q.select("query_id", "v"), d), 5)
+    seeds = R.semantic_seeds(V.similarities(q.select("query_id", "v"), d, 5), 5)
     return R.activity_scores(q, m, seeds).select("query_id", "file_id", F.round("activity", 5).alias("activity"))
 
 
@@ -478,11 +534,19 @@ def metrics_by_kind(spark, sf_dir):
     return M.by_sets(o).select("kind", "difficulty", "queries", F.round("mrr", 5).alias("mrr"))
 
 
-@query()
+def _grid_sql(signals: str) -> str:
+    return f"(WITH {_hybrid_sql(signals)} SELECT count(*) AS n, round(avg(base), 5) AS mean FROM (SELECT * FROM scored WHERE base > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY base DESC, file_id) <= 10))"
+
+
+_GRID = " UNION ALL ".join(f"SELECT '{name}' AS configuration, n AS results, mean AS mean_score FROM {_grid_sql(signals)}" for name, signals in (("semantic_only", "s"), ("semantic_graph", "sg"), ("semantic_graph_timeline", "sgt"), ("semantic_graph_activity", "sga"), ("full", "sgat")))
+
+
+@query(f"{_GRID} UNION ALL (WITH {_SIM} SELECT 'baseline', count(*), round(avg(sim), 5) FROM (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) <= 10))")
 def ablation_grid(spark, sf_dir):
+    """The flat search and five sets of signals."""
     q, d, f, t, m, _ = _context(spark, sf_dir)
-    e = _edges(spark, sf_dir).unionByName(G.activity_edges(m, m.select("session_id").distinct().withColumn("cohesion", F.lit(0.4))))
-    out = R.ablation(q, lambda signals: R.retrieve(q, d, e, files=f, timeline=t, members=m, signals=signals, seeds=5))
+    e = settled(_edges(spark, sf_dir).unionByName(G.activity_edges(m, m.select("session_id").distinct().withColumn("cohesion", F.lit(0.4)))), "grid-edges")
+    out = R.ablation(q, d, lambda signals: R.retrieve(q, d, e, files=f, timeline=t, members=m, signals=signals, seeds=5))
     return out.groupBy("configuration").agg(F.count(F.lit(1)).alias("results"), F.round(F.avg("score"), 5).alias("mean_score"))
 
 
