@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # Titles before and possessives after a name.
 HONORIFICS = ("Dr. ", "Dr ", "Prof. ", "Prof ", "Mr. ", "Mr ", "Ms. ", "Ms ", "Mrs. ")
 POSSESSIVES = ("'s", "’s")
+# Words that say nothing of a sentence's topic.
+STOP_WORDS = (
+    "the a an and or but if then of to in on for with at by from is are was were be been it its this that these those as not no so we i you they he she "
+    "which what when where will would can could should have has had do does did there their our your than into about"
+).split()
 SUMMARY_CHARS = 400
 
 
@@ -150,24 +155,38 @@ def glob_regex(glob: str) -> str:
     return f"(?s)^{out}$"
 
 
-def extractive_summary(docs: DataFrame, key: str, text: str, keep: int = 3, chars: int = SUMMARY_CHARS) -> DataFrame:
-    """(key, summary): the `keep` most central sentences in their order, clipped at a word.
+def content_words(text: str | Column) -> Column:
+    """Lower-case words of three letters or more that aren't stop words."""
+    words = F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z][a-z'-]+"), 0)
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
-    A sentence's weight is the summed frequency in its document of its words of four letters or more, over the square
-    root of their number; the first three count a quarter more. Ties go to the earlier.
+
+def extractive_summary(docs: DataFrame, key: str, text: str, keep: int = 3, chars: int = SUMMARY_CHARS, title: str | None = None) -> DataFrame:
+    """(key, summary): the `keep` most central sentences in their order, blanks collapsed, clipped at a word, after the title.
+
+    A sentence's weight is the summed frequency in its document of its content words, as shares of the most frequent
+    one's, over the square root of their number; the first three count a quarter more. Ties go to the earlier. A document
+    of no more sentences keeps all, one without content words its first ones, one without sentences its text.
     """
-    s = docs.select(key, F.posexplode(sentences(text)).alias("at", "sentence"))
-    w = s.select(key, "at", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z]{4,}"), 0)).alias("word"))
-    freq = w.groupBy(key, "word").agg(F.count(F.lit(1)).alias("f"))
-    weight = w.join(freq, [key, "word"]).groupBy(key, "at").agg((F.sum("f") / F.sqrt(F.count(F.lit(1)))).alias("weight"))
-    scored = s.join(weight, [key, "at"], "left").withColumn("weight", F.round(F.coalesce("weight", F.lit(0.0)) * F.when(F.col("at") < 3, 1.25).otherwise(1.0), 9))
-    best = scored.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col("weight").desc(), "at"))).where(F.col("nth") <= keep)
+    d = docs.select(key, F.coalesce(_c(text), F.lit("")).alias("body"), *([F.col(title).alias("title")] if title else []))
+    s = d.select(key, F.posexplode(sentences("body")).alias("at", "sentence"))
+    w = s.select(key, "at", F.explode(content_words("sentence")).alias("word"))
+    freq = w.groupBy(key, "word").agg(F.count(F.lit(1)).alias("f")).withColumn("share", F.col("f") / F.max("f").over(Window.partitionBy(key)))
+    weight = w.join(freq, [key, "word"]).groupBy(key, "at").agg((F.sum("share") / F.sqrt(F.count(F.lit(1)))).alias("weight"))
+    scored = s.join(weight, [key, "at"], "left").withColumn("weight", F.round(F.col("weight") * F.when(F.col("at") < 3, 1.25).otherwise(1.0), 9))
+    # sentences without content words come after all others, and only where no other or few are there
+    order = Window.partitionBy(key).orderBy(F.col("weight").desc_nulls_last(), "at")
+    whole = Window.partitionBy(key)
+    best = scored.withColumns({"nth": F.row_number().over(order), "n": F.count(F.lit(1)).over(whole), "weighed": F.count("weight").over(whole)})
+    best = best.where((F.col("nth") <= keep) & (F.col("weight").isNotNull() | (F.col("weighed") == 0) | (F.col("n") <= keep)))
     joined = best.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
-    return joined.withColumn("summary", clip("summary", chars))
+    said = clip(F.trim(F.regexp_replace(F.coalesce("summary", "body"), r"[ \t\n\r\f]+", " ")), chars)
+    out = F.when((F.col("title") != "") & (said != ""), F.concat("title", F.lit(": "), said)).otherwise(said) if title else said
+    return d.join(joined, key, "left").select(key, out.alias("summary"))
 
 
 def clip(text: str | Column, chars: int) -> Column:
     """At most `chars` characters, cut after a word, with an ellipsis."""
     t = _c(text)
-    cut = F.left(t, F.lit(chars))
-    return F.when(F.length(t) <= chars, t).otherwise(F.concat(F.rtrim(F.regexp_replace(cut, r" [^ ]*$", "")), F.lit("…")))
+    cut = F.regexp_replace(F.regexp_replace(F.left(t, F.lit(chars)), r" [^ ]*$", ""), r"[ ,;:|-]+$", "")
+    return F.when(F.length(t) <= chars, t).otherwise(F.concat(cut, F.lit(" ...")))

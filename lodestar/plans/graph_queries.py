@@ -61,10 +61,11 @@ def dimension_check(spark, sf_dir):
     return vectors(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), F.size(V.checked(F.col("v"), 64)).alias("dimension"))
 
 
-@query()
+@query("SELECT item_id, 64 AS dimension, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1.0 ELSE 0.0 END AS norm FROM benchmark")
 def hashed_embedding(spark, sf_dir):
-    d = table(spark, sf_dir, "benchmark")
-    return d.select("item_id", F.round(V.norm(V.hashed_terms(F.col("text"), 64)), 5).alias("norm"))
+    """Length and dimension of each vector; the positions themselves are compared in the tests, as the SQL has no such hash."""
+    d = table(spark, sf_dir, "benchmark").select("item_id", V.hashed_terms(F.col("text"), 64).alias("v"))
+    return d.select("item_id", F.size("v").alias("dimension"), F.round(V.norm(F.col("v")), 5).alias("norm"))
 
 
 @query(f"WITH {FILES} SELECT a.file_id AS a, b.file_id AS b, 0.7 AS weight FROM files a JOIN files b ON a.folder = b.folder AND a.file_id < b.file_id")
@@ -451,10 +452,18 @@ def tree_ancestors(spark, sf_dir):
     return tree.ancestors(tree.nodes(files(spark, sf_dir)).where("kind = 'file'"))
 
 
-@query()
+def _up(child: str, parent: str) -> str:
+    """Unit means of the vectors x (i, x) of a table's nodes, by their parents."""
+    return f"SELECT up AS node, i, x / n AS x FROM (SELECT up, i, avg(x) AS x FROM {child} GROUP BY 1, 2) JOIN (SELECT up, sqrt(sum(x * x)) AS n FROM (SELECT up, i, avg(x) AS x FROM {child} GROUP BY 1, 2) GROUP BY 1) USING (up)".replace("up", parent)
+
+
+@query(f"""WITH {FILES}, {VECTORS}, f AS (SELECT file_id, 'dir:' || folder AS folder, 'dir:' || string_split(folder, '/')[1] AS project, i, v[i] AS x FROM files JOIN vectors ON vec_id = file_id, (SELECT unnest(range(1, 65)) AS i)),
+  a AS ({_up("f", "folder")}), a2 AS (SELECT string_split(node, '/')[1] AS project, i, x FROM a), b AS ({_up("a2", "project")}), b2 AS (SELECT 'root' AS root, i, x FROM b), c AS ({_up("b2", "root")})
+  SELECT 'file:' || file_id AS node_id, round(x, 5) AS x FROM f WHERE i = 3 UNION ALL SELECT node, round(x, 5) FROM a WHERE i = 3 UNION ALL SELECT node, round(x, 5) FROM b WHERE i = 3 UNION ALL SELECT node, round(x, 5) FROM c WHERE i = 3""")
 def tree_pooled(spark, sf_dir):
+    """The third coordinate of every node's vector."""
     d, f = vectors(spark, sf_dir), files(spark, sf_dir)
-    return tree.pooled(tree.nodes(f), d.select(F.col("doc_id").alias("file_id"), "v")).select("node_id", F.round(V.norm(F.col("v")), 5).alias("norm"))
+    return tree.pooled(tree.nodes(f), d.select(F.col("doc_id").alias("file_id"), "v")).select("node_id", F.round(F.col("v")[2].cast("double"), 5).alias("x"))
 
 
 @query(f"WITH {FILES} SELECT ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1")

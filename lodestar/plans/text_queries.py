@@ -38,7 +38,18 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences("text")).alias("sentences"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda s: trim(s)),
+    lambda s: s <> '' AND len(string_split(trim(regexp_replace(s, '[ \t\n\r\f]+', ' ', 'g')), ' ')) >= 4) AS ss FROM d),
+  s AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM p), w AS (SELECT doc_id, pos, unnest(list_filter(regexp_extract_all(lower(sentence), '[a-z][a-z''-]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP}))) AS word FROM s),
+  f AS (SELECT doc_id, word, count(*) AS f FROM w GROUP BY 1, 2), m AS (SELECT doc_id, max(f) AS peak FROM f GROUP BY 1),
+  k AS (SELECT doc_id, pos, sum(f / peak) / sqrt(count(*)) AS weight FROM w JOIN f USING (doc_id, word) JOIN m USING (doc_id) GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC NULLS LAST, pos) AS nth, count(*) OVER (PARTITION BY doc_id) AS n, count(weight) OVER (PARTITION BY doc_id) AS weighed FROM (SELECT doc_id, pos, sentence, round(weight * CASE WHEN pos < 3 THEN 1.25 ELSE 1.0 END, 9) AS weight FROM s LEFT JOIN k USING (doc_id, pos))),
+  j AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS said FROM r WHERE nth <= 3 AND (weight IS NOT NULL OR weighed = 0 OR n <= 3) GROUP BY 1),
+  c AS (SELECT doc_id, trim(regexp_replace(coalesce(said, text), '[ \t\n\r\f]+', ' ', 'g')) AS said FROM d LEFT JOIN j USING (doc_id))
+  SELECT doc_id, CASE WHEN length(said) <= 400 THEN said ELSE regexp_replace(regexp_replace(substr(said, 1, 400), ' [^ ]*$', ''), '[ ,;:|-]+$', '') || ' ...' END AS summary FROM c""")
 def extractive_summary(spark, sf_dir):
     return T.extractive_summary(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -72,12 +83,38 @@ def truncate_blocks(spark, sf_dir):
     return B.truncate(blocks(spark, sf_dir), limit=600).select("file_id", "block_index", F.length("text").cast("long").alias("chars"))
 
 
-@query()
+_TOKENS = "CAST(greatest(1, floor({} / 0.75)) AS BIGINT)"
+_SPLIT = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
+
+
+@query(rf"""WITH RECURSIVE {BLOCKS}, b AS (SELECT *, len({_SPLIT}) AS words FROM blocks WHERE regexp_matches(text, '\S')),
+  unit AS (SELECT file_id, block_index, 0 AS line, TRUE AS opens, TRUE AS ends, FALSE AS long, kind, is_tabular, text, words FROM b WHERE {_TOKENS.format("words")} <= 256 UNION ALL
+    SELECT file_id, block_index, line, line = 1, line = n, TRUE, kind, is_tabular, text, len({_SPLIT}) FROM (SELECT file_id, block_index, kind, is_tabular, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, len(string_split(text, chr(10))) AS n FROM b WHERE {_TOKENS.format("words")} > 256)),
+  u AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY block_index, line) AS pos FROM unit),
+  walk AS (
+    SELECT file_id, CAST(0 AS BIGINT) AS pos, CAST([] AS STRUCT(text VARCHAR, kind VARCHAR, tab BOOLEAN, block BIGINT, words BIGINT)[]) AS held, CAST([] AS STRUCT(text VARCHAR, kind VARCHAR, tab BOOLEAN, block BIGINT, words BIGINT)[]) AS lines, FALSE AS fresh,
+      CAST([] AS STRUCT(text VARCHAR, kind VARCHAR, tab BOOLEAN, block BIGINT, words BIGINT)[][]) AS made, CAST([] AS STRUCT(text VARCHAR, kind VARCHAR, tab BOOLEAN, block BIGINT, words BIGINT)[][]) AS parts FROM (SELECT DISTINCT file_id FROM u)
+    UNION ALL
+    SELECT file_id, pos, CASE WHEN long THEN [] WHEN full_ THEN [me] ELSE list_append(held, me) END, CASE WHEN NOT long OR ends THEN [] ELSE kept END, long AND NOT ends,
+      CASE WHEN len(held) > 0 AND ((long AND opens) OR (NOT long AND full_)) THEN list_append(made, held) ELSE made END || CASE WHEN cut THEN [lines] ELSE [] END || CASE WHEN long AND ends THEN [kept] ELSE [] END, parts
+    FROM (SELECT *, list_append(CASE WHEN cut THEN list_filter(lines, lambda x, i: {_TOKENS.format("list_sum(list_transform(lines[i:], lambda y: y.words))")} <= 48) ELSE lines END, me) AS kept
+      FROM (SELECT w.file_id, u.pos, held, lines, made, parts, long, opens, ends, struct_pack(text := u.text, kind := u.kind, tab := u.is_tabular, block := CAST(u.block_index AS BIGINT), words := CAST(u.words AS BIGINT)) AS me,
+        long AND fresh AND {_TOKENS.format("(list_sum(list_transform(lines, lambda y: y.words)) + u.words)")} > 256 AS cut,
+        len(held) > 0 AND coalesce(list_sum(list_transform(held, lambda y: {_TOKENS.format("y.words")})), 0) + {_TOKENS.format("u.words")} > 256 AS full_
+        FROM walk w JOIN u ON u.file_id = w.file_id AND u.pos = w.pos + 1))
+  ),
+  done AS (SELECT file_id, CASE WHEN len(held) > 0 THEN list_append(made, held) ELSE made END AS made FROM walk QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY pos DESC) = 1),
+  chunk AS (SELECT file_id, unnest(made) AS c, unnest(range(len(made))) AS i FROM done)
+  SELECT file_id, CAST(i AS INTEGER) AS chunk_index, md5(CASE WHEN len(c) > 1 AND c[1].block = c[2].block THEN array_to_string(list_transform(c, lambda x: x.text), chr(10)) ELSE array_to_string(list_transform(c, lambda x: x.text), chr(10) || chr(10)) END) AS digest, list_bool_or(list_transform(c, lambda x: x.tab)) AS is_tabular,
+    array_to_string(list_reverse(list_reduce(list_transform(c, lambda x: [x.kind]), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_prepend(x[1], a) END)), ',') AS block_kinds, c[1].block AS first_block FROM chunk""")
 def chunk_pack(spark, sf_dir):
-    return B.chunks(blocks(spark, sf_dir))
+    return B.chunks(blocks(spark, sf_dir)).select("file_id", "chunk_index", F.md5("text").alias("digest"), "is_tabular", "block_kinds", "first_block")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {BLOCKS}, u AS (SELECT file_id, {_TOKENS.format(f"({_COUNT})")} AS n, row_number() OVER (PARTITION BY file_id ORDER BY block_index, {_TOKENS.format(f"({_COUNT})")}) AS at FROM blocks),
+  walk AS (SELECT DISTINCT file_id, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS used, 0 AS chunks FROM u UNION ALL
+    SELECT w.file_id, u.at, CASE WHEN used > 0 AND used + n > 256 THEN n ELSE used + n END, CASE WHEN used > 0 AND used + n > 256 THEN chunks + 1 ELSE greatest(chunks, 1) END FROM walk w JOIN u ON u.file_id = w.file_id AND u.at = w.at + 1)
+  SELECT file_id, max(chunks) AS chunks FROM walk GROUP BY 1""")
 def chunk_fold(spark, sf_dir):
     return B.chunk_starts(blocks(spark, sf_dir))
 
@@ -155,7 +192,19 @@ def date_verdict(spark, sf_dir):
     return best.select("file_id", "iso_date", "start", F.round("raw", 5).alias("score"), (F.round("raw", 7) >= 0.55).alias("is_meaningful"))
 
 
-@query()
+#: Words of the dated texts by place: due 0, its date 1-3, then 4, its date 5-7, exam 8, on 9, its date 10-12, published 13, in 14, its year 15, never 16, a false date 17-19.
+_NEAR_BY = "greatest(0.0, 1 - (CASE WHEN {0} < a THEN a - 1 - {0} ELSE {0} - b - 1 END) / 12.0)"
+
+
+@query(f"""WITH {_DATES}, said AS (SELECT file_id, day, length(strftime(day, '%-d %B %Y')) AS long FROM dated),
+  m AS (SELECT file_id, 4 AS start, day AS iso_date, 1 AS a, 3 AS b, 'day' AS precision, day AS mtime FROM said UNION ALL SELECT file_id, 20, day, 5, 7, 'day', day FROM said UNION ALL SELECT file_id, 40, day, 10, 12, 'day', day FROM said
+    UNION ALL SELECT file_id, 55 + long, make_date(year(day), 1, 1), 15, 15, 'year', day FROM said UNION ALL SELECT file_id, 73 + long, DATE '2024-01-01', 19, 19, 'year', day FROM said),
+  f AS (SELECT iso_date, count(DISTINCT file_id) AS files FROM m GROUP BY 1),
+  k AS (SELECT *, greatest(0.0, least(1.0, 0.5 + 0.5 * greatest({_NEAR_BY.format(0)}, {_NEAR_BY.format(8)}) - 0.5 * 0.9 * {_NEAR_BY.format(13)})) AS kw,
+    CASE WHEN iso_date >= mtime THEN exp(-(iso_date - mtime) / 60.0) ELSE exp((iso_date - mtime) / 30.0) END AS md, CASE WHEN files <= 1 THEN 0.5 ELSE 0.5 + 0.5 * least(1.0, (files - 1) / 3.0) END AS cf FROM m JOIN f USING (iso_date)),
+  v AS (SELECT *, greatest(0.0, least(1.0, (0.40 * kw + 0.25 * 0.5 + 0.20 * md + 0.15 * cf) * CASE WHEN precision = 'year' THEN 0.35 ELSE 1.0 END)) AS score FROM k)
+  SELECT file_id, CAST(start AS INTEGER) AS start, iso_date, round(kw, 5) AS sig_keyword, round(score, 5) AS score, score >= 0.55 AS is_meaningful,
+    concat_ws('; ', CASE WHEN kw > 0.5 THEN 'words of a commitment nearby' WHEN kw < 0.5 THEN 'words of a record or reference nearby' END, CASE WHEN files > 1 THEN 'in ' || files || ' files' END, CASE WHEN precision = 'year' THEN 'only a year' END) AS reason FROM v""")
 def date_classify(spark, sf_dir):
     docs = _dated(spark, sf_dir)
     found = D.date_mentions(docs, near="mtime").withColumn("in_tabular", F.lit(False))
@@ -184,11 +233,26 @@ def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", Q.topic_terms(F.col("text")).alias("terms"))
 
 
-@query()
+_HEAD = "'^ {0,3}#{1,6} +'"
+_BULLET = "CASE WHEN regexp_matches(x, '^[ \\t]*[-*+][ \\t]+([^-*+ \\t]|$)') THEN regexp_replace(x, '^[ \\t]*[-*+][ \\t]+', '') ELSE regexp_replace(x, '^[ \\t]*[-*+][ \\t]+([ \\t])', '\\1') END"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, raw, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE NOT regexp_matches(raw, '^[ \t]*[-=*_]{{3,}}[ \t]*$')),
+  a AS (SELECT *, regexp_replace(regexp_replace(raw, {_HEAD}, ''), '^[ \t]*\[[ xX]\][ \t]*', '') AS x FROM l), b AS (SELECT doc_id, raw, i, regexp_replace(regexp_replace({_BULLET}, '^[ \t]*[0-9]+[.)][ \t]+', ''), '\*\*|__|\*|_|`', '', 'g') AS x FROM a),
+  c AS (SELECT doc_id, raw, i, trim(CASE WHEN contains(x, '|') THEN array_to_string(list_transform(list_filter(list_transform(string_split(x, '|'), lambda y: trim(y, ' -')), lambda y: y <> ''), lambda y: CASE WHEN regexp_matches(y, '[.!?:;]$') THEN y ELSE y || '.' END), ' ') ELSE x END) AS x FROM b),
+  d AS (SELECT doc_id, raw, i, CASE WHEN x <> '' AND (regexp_matches(raw, {_HEAD}) OR trim(raw) <> x) AND NOT regexp_matches(x, '[.!?:;]$') THEN x || '.' ELSE x END AS x FROM c)
+  SELECT documents.doc_id, CASE WHEN any_value(text) IS NOT NULL THEN md5(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE x <> '' OR NOT contains(raw, '|')), '')) END AS digest FROM documents LEFT JOIN d USING (doc_id) GROUP BY documents.doc_id""")
 def prepared_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.prepare_lines("text")).alias("digest"))
 
 
-@query()
+_NAME = r"[A-Z][\p{L}\p{N}_''’.-]*"
+_NORMAL = "regexp_replace(trim(regexp_replace(surface, '[ \\t\\n\\r]+', ' ', 'g')), '^(Dr[.]? |Prof[.]? |Mr[.]? |Ms[.]? |Mrs[.] )', '')"
+
+
+@query(rf"""WITH e AS (SELECT doc_id AS file_id, unnest(regexp_extract_all(coalesce(text, ''), '(?:^|[^\p{{L}}\p{{N}}_])({_NAME}(?:\s+(?:of|the|and|de|von|for)\s+{_NAME}|\s+{_NAME})+)', 1)) AS surface FROM documents),
+  n AS (SELECT file_id, CASE WHEN regexp_matches(lower(surface), '\b(university|institute|college|inc|ltd|corp|company|bank|agency)\b') THEN 'org' WHEN regexp_matches(lower(surface), '\b(city|street|road|river|lake|mount|state)\b') THEN 'location' ELSE 'person' END AS category,
+    trim(regexp_replace(regexp_replace({_NORMAL}, '(''s|’s)$', ''), '(''s|’s)$', ''), ' .,;:') AS normalised FROM e)
+  SELECT file_id, category, count(*) AS n FROM n WHERE length(normalised) >= 2 AND NOT regexp_matches(normalised, '^[0-9]+$') AND NOT (category = 'org' AND regexp_matches(normalised, '^[A-Z]{{1,5}}$')) GROUP BY 1, 2""")
 def entity_recognise(spark, sf_dir):
     return E.recognise(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")).groupBy("file_id", "category").agg(F.count(F.lit(1)).alias("n"))
