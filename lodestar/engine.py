@@ -12,6 +12,7 @@ from .config import Config
 from .functions import dates, decompose, text, timeline
 from .operators import blocks, entities, graph, insights, retrieval, sessions, store, tree
 from .operators import vectors as vec
+from .operators.cluster import settled
 from .sources import extract, files
 
 
@@ -98,13 +99,32 @@ class Engine:
         """Ranked, explained files for each query text."""
         line = timeline.timeline(self.table("classified_dates"))
         read = [decompose.read_query(t, today, line, lambda s: [e[0] for e in entities.capitalised(s)]) for t in texts]
-        rows = [(i, r.text, r.range.start if r.range else None, r.range.end if r.range else None, r.cue, list(r.formats), r.entities) for i, r in enumerate(read)]
-        q = self.spark.createDataFrame(rows, "query_id long, text string, range_start date, range_end date, cue double, formats array<string>, entities array<string>")
+        rows = [(i, r.text, r.range.start if r.range else None, r.range.end if r.range else None, r.cue, list(r.formats), r.entities, r.terms) for i, r in enumerate(read)]
+        q = self.spark.createDataFrame(rows, "query_id long, text string, range_start date, range_end date, cue double, formats array<string>, entities array<string>, terms array<string>")
         q = q.withColumn("v", vec.hashed_terms(F.col("text"), self.config.embeddings.dimension)).withColumn("query_norm", text.normalise_query("text"))
         docs = vec.mean_pool(self.table("chunks"), "file_id", "v").withColumnRenamed("file_id", "doc_id")
         c = self.config.retrieval
-        out = retrieval.retrieve(q.drop("text"), docs, self.table("edges"), self.table("files"), self.table("entities"), line, self.table("session_members"), store.feedback_net(self.table("feedback")), signals, c.max_seed_nodes, c.max_expanded_nodes, top_k or c.top_k, c.weights)
-        return retrieval.explain(out)
+        out = retrieval.retrieve(q.drop("text", "terms"), docs, self.table("edges"), self.table("files"), self.table("entities"), line, self.table("session_members"), store.feedback_net(self.table("feedback")), signals, c.max_seed_nodes, c.max_expanded_nodes, top_k or c.top_k, c.weights)
+        out = settled(out, "query-results")
+        more = retrieval.details(q, out, self.table("keywords"), self.table("entities"), self.table("session_members"), self.table("sessions"), line)
+        out = retrieval.explain(out, more).join(F.broadcast(self.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")), "query_id")
+        schemas.write(out, self.data, "last_query", schemas.newest(self.spark, self.data, "last_query") + 1)
+        return self.table("last_query")
+
+    def explain(self, rank: int, query_id: int = 0) -> DataFrame:
+        """The result of that rank in the last query, with its arithmetic."""
+        return self.table("last_query").where((F.col("rank") == rank) & (F.col("query_id") == query_id))
+
+    def feedback_on(self, rank: int, event: str = "pick", weight: float = 1.0, query_id: int = 0) -> None:
+        """Feedback on a result of the last query."""
+        hit = self.explain(rank, query_id).select("text", "file_id").first()
+        if hit is None:
+            raise LookupError(f"the last query has no result of rank {rank}")
+        self.feedback(hit.text, hit.file_id, event, weight)
+
+    def find(self, said: str) -> str:
+        """The one present path that has `said` in it."""
+        return store.one_path(store.present(self.table("files")), said)
 
     def feedback(self, query: str, file_id: int, event: str = "pick", weight: float = 1.0) -> None:
         """Record a pick or a reject of a result."""
@@ -135,4 +155,5 @@ class Engine:
         return insights.suggest_tags(self.table("files"), s, self.table("entities"), self.table("classified_dates"), self.table("keywords"))
 
     def stats(self) -> dict[str, int]:
-        return {name: self.table(name).count() for name in ("files", "documents", "entities", "date_mentions", "chunks", "sessions", "edges", "tree_nodes")}
+        names = ("files", "documents", "entities", "date_mentions", "chunks", "sessions", "edges", "tree_nodes", "feedback")
+        return {r.name: r.n for r in store.counts(**{name: self.table(name) for name in names}).collect()}

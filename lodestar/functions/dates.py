@@ -124,6 +124,13 @@ def resolve_day(d: Column, m: Column, y: Column) -> Column:
     return F.when(y.between(1900, 2099) & month.between(1, 12) & day.between(1, 31), F.try_to_date(iso, "yyyy-MM-dd"))
 
 
+def parse_iso(value: Column) -> Column:
+    """The local time that an ISO text says, whatever its offset; null for null, empty and unreadable ones."""
+    said = F.regexp_replace(F.trim(value), r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$", "")
+    whole = said.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,6})?)?)?$")
+    return F.when(whole, said.try_cast("timestamp_ntz"))
+
+
 # -- signals --------------------------------------------------------------------------------------------------------
 
 

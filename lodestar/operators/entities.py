@@ -55,6 +55,34 @@ def recognise(docs: DataFrame, recogniser: Recogniser = capitalised, key: str =
     return admissible(rows)
 
 
+def places(surfaces: list[str], original: str) -> list[int]:
+    """Where each of some surfaces, given in order, stands in a text: from where the one before ended, else anywhere; -1 if it doesn't."""
+    out, after = [], 0
+    for surface in surfaces:
+        at = original.find(surface, after)
+        at = original.find(surface) if at < 0 else at
+        after = at + len(surface) if at >= 0 else after
+        out.append(at)
+    return out
+
+
+def remap(found: DataFrame, docs: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
+    """found (key, text, char_start, ...), named in a prepared text, with char_start and char_end in the documents' own texts; -1 where the surface is lost.
+
+    Rows of a document are taken in the order of their char_start. A document without text loses all.
+    """
+
+    @F.pandas_udf("array<int>")
+    def located(surfaces: pd.Series, original: pd.Series) -> pd.Series:
+        return pd.Series([places(list(s), t or "") for s, t in zip(surfaces, original)])
+
+    rest = [c for c in found.columns if c not in (key, "char_start", "char_end")]
+    rows = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("char_start", *rest))).alias("rows"))
+    rows = rows.join(docs.select(key, F.col(text).alias("original")), key, "left").withColumn("at", located(F.transform("rows", lambda x: x["text"]), F.col("original")))
+    flat = rows.select(key, F.explode(F.arrays_zip("rows", "at")).alias("x")).select(key, *[F.col(f"x.rows.{c}").alias(c) for c in rest], F.col("x.at").alias("char_start"))
+    return flat.withColumn("char_end", F.when(F.col("char_start") >= 0, F.col("char_start") + F.length("text")).otherwise(-1))
+
+
 def admissible(rows: DataFrame) -> DataFrame:
     """Rows (normalised, category) worth keeping as entities."""
     keep = F.col("category").isNotNull() & (F.length("normalised") >= 2) & ~F.col("normalised").rlike("^[0-9]+$")
@@ -75,13 +103,14 @@ def gazetteer(entities: DataFrame, least: int = 4) -> DataFrame:
     return n.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(F.col("normalised").alias("surface"), "category")
 
 
-def propagate(docs: DataFrame, names: DataFrame, key: str = "file_id", text: str = "text", most_words: int = 6) -> DataFrame:
+def propagate(docs: DataFrame, names: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
     """(key, surface, category, n): whole-word places of known names in every text, case-sensitive.
 
-    Texts are cut into runs of up to `most_words` words and joined to the names by equality.
+    Texts are cut into runs of as many words as names have, whatever that is, and joined to the names by equality.
     """
+    lengths = [r.n for r in names.select(F.size(F.split("surface", " ")).alias("n")).distinct().collect()]  # a few numbers
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}'’.-]+"), 0)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    runs = F.flatten(F.transform(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
     rows = docs.select(key, words.alias("w")).select(key, F.explode(runs).alias("run")).select(key, F.regexp_replace("run", r"[.'’-]+$", "").alias("surface"))
     return rows.join(names, "surface").groupBy(key, "surface", "category").agg(F.count(F.lit(1)).alias("n"))
 

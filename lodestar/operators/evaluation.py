@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import statistics
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +60,34 @@ def sweep(rows: DataFrame, truth: str, score: str, low: int = 20, high: int = 85
     """Confusion at thresholds low..high (hundredths): rows are counted by the highest threshold they reach, then accumulated."""
     at = rows.select(F.col(truth).alias("t"), F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step))).alias("threshold"), F.col(score).alias("s"))
     return confusion(at, F.col("t"), F.col("s") >= F.col("threshold") / 100.0, ["threshold"])
+
+
+def align(verdicts: DataFrame, labels: DataFrame) -> DataFrame:
+    """verdicts (path, iso_date, is_meaningful, ...) that have a label (path, iso_date, kind), with it and whether they agree."""
+    return verdicts.join(labels.select("path", "iso_date", "kind").distinct(), ["path", "iso_date"]).withColumn("agrees", F.col("is_meaningful") == (F.col("kind") == "meaningful"))
+
+
+def undetected(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Labels (path, iso_date, kind) on which there is no verdict."""
+    return labels.join(verdicts.select("path", "iso_date"), ["path", "iso_date"], "left_anti")
+
+
+def coverage(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Results, and the share of them whose explanation is complete (1 without results)."""
+    return results.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("results"), F.coalesce(F.avg(F.col("complete").cast("int")), F.lit(1.0)).alias("coverage"))
+
+
+def latency(run: Callable[[], object], repeats: int = 5) -> dict[str, float]:
+    """Milliseconds of some runs: median, least and most."""
+    took = []
+    for _ in range(max(1, repeats)):
+        began = time.perf_counter()
+        run()
+        took.append((time.perf_counter() - began) * 1000)
+    return {"median_ms": statistics.median(took), "min_ms": min(took), "max_ms": max(took), "repeats": len(took)}
+
+
+def save(summary_rows: DataFrame, outcomes: DataFrame, folder: str) -> None:
+    """results.json, results.csv and per_query.csv below a folder, each written by as many tasks as it has parts."""
+    for name, kind, rows in (("results.json", "json", summary_rows), ("results.csv", "csv", summary_rows), ("per_query.csv", "csv", outcomes)):
+        rows.write.mode("overwrite").option("header", kind == "csv").format(kind).save(f"{folder.rstrip('/')}/{name}")

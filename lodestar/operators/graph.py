@@ -211,10 +211,11 @@ def _hop(front: DataFrame, e: DataFrame, hop: int) -> DataFrame:
 
 
 def best_seed_edge(edges: DataFrame, seeds: DataFrame, types: list[str]) -> DataFrame:
-    """(query_id, node, weight): the heaviest allowed edge between a vertex and a seed of the query."""
+    """(query_id, node, weight, via): the heaviest allowed edge between a vertex and a seed of the query, and its type, the first of equals."""
     e = edges.where(F.col("type").isin(types))
     hit = e.join(seeds.select("query_id", F.col("node").alias("dst")).distinct(), "dst")
-    return hit.groupBy("query_id", F.col("src").alias("node")).agg(F.max("weight").alias("weight"))
+    best = hit.groupBy("query_id", F.col("src").alias("node")).agg(F.min(F.struct((-F.col("weight")).alias("less"), "type")).alias("e"))
+    return best.select("query_id", "node", (-F.col("e.less")).alias("weight"), F.col("e.type").alias("via"))
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:

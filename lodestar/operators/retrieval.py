@@ -111,7 +111,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, edges: DataFrame, files: DataF
     of = found.join(queries.select("query_id", F.col("v").alias("qv")), "query_id").join(docs.select(F.col("doc_id").alias("file_id"), F.col("v").alias("dv")), "file_id", "left")
     out = of.withColumn("sim", V.dot(F.col("qv"), F.col("dv"))).drop("qv", "dv")
     out = out.join(seed.withColumn("seed", F.lit(True)), ["query_id", "file_id"], "left")
-    near = G.best_seed_edge(edges, nodes, types).select("query_id", F.expr("try_cast(substring(node, 6, 20) AS BIGINT)").alias("file_id"), F.col("weight").alias("near")).where("file_id IS NOT NULL")
+    near = G.best_seed_edge(edges, nodes, types).select("query_id", F.expr("try_cast(substring(node, 6, 20) AS BIGINT)").alias("file_id"), F.col("weight").alias("near"), "via").where("file_id IS NOT NULL")
     out = out.join(near, ["query_id", "file_id"], "left")
     out = out.join(times, ["query_id", "file_id"], "left") if times is not None else out.withColumn("timeline", F.lit(0.0))
     out = out.join(activity_scores(queries, members, seed), ["query_id", "file_id"], "left") if members is not None else out.withColumn("activity", F.lit(0.0))
@@ -136,21 +136,55 @@ def retrieve(queries: DataFrame, docs: DataFrame, edges: DataFrame, files: DataF
     return out
 
 
-def explain(results: DataFrame) -> DataFrame:
-    """results with signals, weights and contributions as maps, the dominant signal, the reasons, and whether all are there."""
+def details(queries: DataFrame, results: DataFrame, keywords: DataFrame, postings: DataFrame, members: DataFrame, sessions: DataFrame, timeline: DataFrame) -> DataFrame:
+    """(query_id, file_id, topics, shared, session, days) of results: keywords that are a query's terms, entities that it
+    names, the session with its size, and days inside its range, each in a fixed order.
+
+    queries: query_id, terms, entities, range_start, range_end.
+    """
+    own = results.select("query_id", "file_id").distinct()
+    listed = lambda rows, order, value, name: rows.groupBy("query_id", "file_id").agg(F.transform(F.sort_array(F.collect_set(F.struct(*order, F.col(value).cast("string").alias("said")))), lambda x: x["said"]).alias(name))
+    terms = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    topics = listed(own.join(keywords.select("file_id", "term", "rank"), "file_id").join(terms, ["query_id", "term"]), ["rank"], "term", "topics")
+    names = queries.select("query_id", F.explode("entities").alias("name")).select("query_id", F.lower("name").alias("low")).distinct()
+    shared = listed(own.join(postings.select("file_id", "normalised", F.lower("normalised").alias("low")), "file_id").join(names, ["query_id", "low"]), [], "normalised", "shared")
+    held = own.join(members.select("file_id", "session_id"), "file_id").join(sessions.select("session_id", "label", "size"), "session_id")
+    held = held.groupBy("query_id", "file_id").agg(F.min(F.concat("label", F.lit(", "), F.col("size").cast("string"), F.lit(" files"))).alias("session"))
+    ranges = queries.where("range_start IS NOT NULL").select("query_id", "range_start", "range_end")
+    days = listed(own.join(ranges, "query_id").join(timeline.select("file_id", "day"), "file_id").where("day BETWEEN range_start AND range_end"), ["day"], "day", "days")
+    for part in (topics, shared, held, days):
+        own = own.join(part, ["query_id", "file_id"], "left")
+    return own
+
+
+def explain(results: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """results with signals, weights and contributions as maps, the dominant signal, the reasons, and whether all are there.
+
+    Reasons come in a fixed order: topic, entities, graph, session, timeline, format, feedback. With `more` (see details)
+    they say which words (5), entities (5), session and days (3).
+    """
     def table(prefix):
         return F.map_from_arrays(F.array(*[F.lit(k) for k in WEIGHTS]), F.array(*[F.col(f"{prefix}_{k}") for k in WEIGHTS]))
 
+    extra = ("topics", "shared", "session", "days")
+    if more is not None:
+        results = results.join(more, ["query_id", "file_id"], "left")
+    else:
+        results = results.withColumns({k: F.lit(None).cast("string" if k == "session" else "array<string>") for k in extra})
     best = F.array_max(F.array(*[F.struct(F.col(f"c_{k}").alias("c"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(WEIGHTS)]))
+    some = lambda c, n: F.when(F.size(c) > 0, F.concat(F.lit(": "), F.array_join(F.slice(c, 1, n), ", "))).otherwise("")
+    moved = F.col("net") if more is not None and "net" in results.columns else F.lit(None).cast("double")
     reasons = F.array_compact(F.array(
-        F.when(F.col("s_semantic") > 0, F.concat(F.lit("similar text ("), F.format_number(F.col("s_semantic"), 2), F.lit(")"))),
-        F.when(F.col("seed"), F.lit("a direct match")).when(F.col("s_graph") > 0, F.lit("linked to a match")),
-        F.when(F.col("s_activity") > 0, F.lit("from the same session")),
-        F.when(F.col("s_timeline") > 0, F.lit("has a date in range")),
+        F.when(F.col("s_semantic") > 0, F.concat(F.lit("similar text ("), F.format_number(F.col("s_semantic"), 2), F.lit(")"), some("topics", 5))),
+        F.when(F.size("shared") > 0, F.concat(F.lit("names the same"), some("shared", 5))),
+        F.when(F.col("seed"), F.lit("a direct match")).when(F.col("s_graph") > 0, F.concat(F.lit("linked to a match"), F.coalesce(F.concat(F.lit(" by a "), "via", F.lit(" edge")), F.lit("")))),
+        F.when(F.col("s_activity") > 0, F.concat(F.lit("from the same session"), F.coalesce(F.concat(F.lit(": "), "session"), F.lit("")))),
+        F.when(F.col("s_timeline") > 0, F.concat(F.lit("has a date in range"), some("days", 3))),
         F.when(F.size(F.coalesce("formats", F.array().cast("array<string>"))) > 0, F.lit("kind of file considered")),
+        F.when(moved > 0, "picked before").when(moved < 0, "rejected before"),
     ))
     out = results.withColumns({"signals": table("s"), "weights": table("w"), "contributions": table("c"), "dominant": F.when(best["c"] > 0, best["k"]), "reasons": reasons})
-    return out.withColumn("complete", (F.size("reasons") > 0) & (F.size("signals") > 0) & (F.size("contributions") > 0))
+    return out.withColumn("complete", (F.size("reasons") > 0) & (F.size("signals") > 0) & (F.size("contributions") > 0)).drop(*extra)
 
 
 def baseline(queries: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:

@@ -134,6 +134,30 @@ def latest_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
+class AmbiguousPath(LookupError):
+    """Several files, or none, answer to a path."""
+
+
+def paths_like(files: DataFrame, said: str) -> DataFrame:
+    """Files whose path is `said`, or else holds it somewhere, whatever its case."""
+    exact = files.where(F.col("path") == said)
+    part = files.where(F.contains(F.lower("path"), F.lit(said.lower())))
+    return part if exact.isEmpty() else exact
+
+
+def one_path(files: DataFrame, said: str, named: int = 10) -> str:
+    """The only path that answers to `said`; an error names up to `named` of several."""
+    found = [r.path for r in paths_like(files, said).select("path").orderBy("path").limit(named + 1).collect()]
+    if len(found) != 1:
+        raise AmbiguousPath(f"no file has {said!r} in its path" if not found else f"{said!r} is in {'more than ' * (len(found) > named)}{min(len(found), named)} paths: {', '.join(found[:named])}")
+    return found[0]
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """(name, n) of tables."""
+    return union_all(*[t.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, t in tables.items()])
+
+
 # -- aggregates ---------------------------------------------------------------------------------------------------
 
 

@@ -564,3 +564,53 @@ def ablation_grid(spark, sf_dir):
 def threshold_sweep(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("truth"), ((F.col("doc_id") % 97) / 100.0 + 0.005).alias("score"))
     return M.sweep(rows, "truth", "score").select("threshold", "tp", "fp", "fn", "tn")
+
+
+_LABELLED = """labels_ AS (SELECT o_orderkey AS path, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS iso_date, CASE WHEN o_orderkey % 3 = 0 THEN 'incidental' ELSE 'meaningful' END AS kind FROM orders),
+  found AS (SELECT l_orderkey AS path, CAST(l_shipdate AS DATE) AS iso_date, bool_or(l_returnflag = 'A') AS is_meaningful FROM lineitem GROUP BY 1, 2)"""
+
+
+def _labelled(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    labels = o.select(F.col("o_orderkey").alias("path"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 60).cast("int")).alias("iso_date"), F.when(F.col("o_orderkey") % 3 == 0, "incidental").otherwise("meaningful").alias("kind"))
+    found = l.groupBy(F.col("l_orderkey").alias("path"), F.col("l_shipdate").cast("date").alias("iso_date")).agg(F.bool_or(F.col("l_returnflag") == "A").alias("is_meaningful"))
+    return labels, found
+
+
+@query(f"WITH {_LABELLED} SELECT path, iso_date, kind, is_meaningful, is_meaningful = (kind = 'meaningful') AS agrees FROM found JOIN labels_ USING (path, iso_date)")
+def label_alignment(spark, sf_dir):
+    labels, found = _labelled(spark, sf_dir)
+    return M.align(found, labels)
+
+
+@query(f"WITH {_LABELLED} SELECT path, iso_date, kind FROM labels_ ANTI JOIN found USING (path, iso_date)")
+def undetected_labels(spark, sf_dir):
+    return M.undetected(*_labelled(spark, sf_dir))
+
+
+@query("""WITH k AS (SELECT user_id % 4 AS kind, 'a' AS configuration, avg(value) AS mrr FROM events WHERE event_id % 2 = 0 GROUP BY 1), l AS (SELECT user_id % 4 AS kind, avg(value) AS mrr FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+  SELECT kind, round(k.mrr, 5) AS before, round(l.mrr, 5) AS after, round(l.mrr - k.mrr, 5) AS change, CASE WHEN l.mrr - k.mrr > 1e-9 THEN 'improved' WHEN l.mrr - k.mrr < -1e-9 THEN 'degraded' ELSE 'same' END AS mark FROM k JOIN l USING (kind)""")
+def configuration_compare(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    m = e.groupBy((F.col("user_id") % 4).alias("kind"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("configuration")).agg(F.avg("value").alias("mrr"))
+    return M.compare(m, "a", "b").select("kind", *[F.round(c, 5).alias(c) for c in ("before", "after", "change")], "mark")
+
+
+@query("""WITH s AS (SELECT user_id AS session_id, count(*) AS size, CASE user_id % 3 WHEN 0 THEN 'project' WHEN 1 THEN 'career' ELSE 'unknown' END AS kind FROM events WHERE event_id % 4 <> 0 GROUP BY 1), k AS (SELECT kind, count(*) AS n FROM s GROUP BY 1)
+  SELECT (SELECT count(*) FROM s) AS sessions, (SELECT round(avg(size), 2) FROM s) AS mean_size, (SELECT count(*) FROM events WHERE event_id % 4 <> 0) AS clustered, (SELECT count(*) FROM events WHERE event_id % 4 = 0) AS unsessioned, (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM k) AS by_kind""")
+def session_report(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.col("user_id").alias("session_id"))
+    members = e.where("file_id % 4 <> 0")
+    kind = F.when(F.col("session_id") % 3 == 0, "project").when(F.col("session_id") % 3 == 1, "career").otherwise("unknown")
+    sessions = members.groupBy("session_id").agg(F.count(F.lit(1)).alias("size")).withColumn("kind", kind)
+    out = S.report(members, sessions, e)
+    said = F.array_join(F.transform(F.map_entries("by_kind"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return out.select("sessions", "mean_size", "clustered", "unsessioned", said.alias("by_kind"))
+
+
+@query(f"""WITH {_hybrid_sql("sg")}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, file_id) AS nth FROM scored WHERE base > 0)
+  SELECT query_id, count(*) AS results, round(avg(((s > 0)::INTEGER + (g > 0)::INTEGER + (a > 0)::INTEGER + (t > 0)::INTEGER + md::INTEGER > 0)::INTEGER), 5) AS coverage FROM r WHERE nth <= 10 GROUP BY 1""")
+def explanation_coverage(spark, sf_dir):
+    q, d, f, t, m, _ = _context(spark, sf_dir)
+    out = R.explain(R.retrieve(q, d, _edges(spark, sf_dir), files=f, timeline=t, members=m, signals=("semantic", "graph"), seeds=5))
+    return M.coverage(out, ["query_id"]).withColumn("coverage", F.round("coverage", 5))

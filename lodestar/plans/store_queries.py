@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..operators import store as S
 from .tables import ENTITIES, FILES, MENTIONS, entities, files, mentions, query, table
 
@@ -162,3 +163,19 @@ def last_scan(spark, sf_dir):
 @query("SELECT o_custkey AS file_id, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS days FROM orders GROUP BY 1")
 def ordered_children(spark, sf_dir):
     return S.ordered_list(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate"], "o_orderkey", "days").withColumnRenamed("o_custkey", "file_id")
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE status = 'present' AND contains(lower(path), 'er#00000001')")
+def path_lookup(spark, sf_dir):
+    return S.paths_like(S.present(files(spark, sf_dir)), "ER#00000001").select("path")
+
+
+@query(f"WITH {FILES}, {ENTITIES} SELECT 'files' AS name, count(*) AS n FROM files UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'feedback', count(*) FROM events WHERE event_type IN ('click', 'error')")
+def table_counts(spark, sf_dir):
+    return S.counts(files=files(spark, sf_dir), entities=entities(spark, sf_dir), feedback=feedback(spark, sf_dir))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS at FROM events""")
+def iso_parse(spark, sf_dir):
+    said = F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 5 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ssXXX").substr(1, 19)).when(F.col("event_id") % 5 == 2, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 5 == 3, "not a day")
+    return table(spark, sf_dir, "events").select("event_id", D.parse_iso(said).alias("at"))

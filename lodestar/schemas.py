@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VERSION = 8
+VERSION = 9
 TABLES = {
     "meta": "key string, value string",
     "files": "file_id long, path string, abs_path string, name string, stem string, ext string, folder string, depth int, size long, mtime timestamp_ntz, content_hash string, status string, first_seen timestamp_ntz, last_seen timestamp_ntz, content_changed_at timestamp_ntz",
@@ -25,6 +25,8 @@ TABLES = {
     "sessions": "session_id string, label string, kind string, start_at timestamp_ntz, end_at timestamp_ntz, size long, cohesion double, keywords array<string>, entities array<string>, dates array<date>",
     "session_members": "session_id string, file_id long, path string",
     "feedback": "query_norm string, file_id long, path string, event string, weight double, created_at timestamp",
+    "last_query": "query_id long, text string, rank int, file_id long, path string, score double, signals map<string,double>, weights map<string,double>, contributions map<string,double>, dominant string, reasons array<string>, complete boolean",
+    "migrations": "version int, at timestamp",
     "chunks": "chunk_id string, file_id long, chunk_index int, text string, is_tabular boolean, block_kinds string, v array<float>",
     "vertices": "id string, kind string",
     "edges": "src string, dst string, type string, weight double",
@@ -47,10 +49,28 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
         versions = spark.read.parquet(f"{root}/{name}")
     except AnalysisException:
         return empty(spark, name)
-    newest = versions.agg(F.max("v")).first()[0]
-    return conform(versions.where(F.col("v") == newest).drop("v"), name)
+    newest = versions.agg(F.max("snapshot")).first()[0]
+    return conform(versions.where(F.col("snapshot") == newest).drop("snapshot"), name)
+
+
+def newest(spark: SparkSession, root: str, name: str) -> int:
+    """The number of a table's newest snapshot, 0 if it has none."""
+    try:
+        return spark.read.parquet(f"{root}/{name}").agg(F.max("snapshot")).first()[0] or 0
+    except AnalysisException:
+        return 0
+
+
+def migrate(spark: SparkSession, root: str) -> list[int]:
+    """The versions applied now, each recorded once. Tables are made conform when they are read, so a step only has to note that it is there."""
+    done = {r.version for r in read(spark, root, "migrations").collect()}
+    todo = [v for v in range(1, VERSION + 1) if v not in done]
+    if todo:
+        rows = read(spark, root, "migrations").unionByName(spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in todo])).alias("version"), F.current_timestamp().alias("at")))
+        write(rows, root, "migrations", newest(spark, root, "migrations") + 1)
+    return todo
 
 
 def write(df: DataFrame, root: str, name: str, v: int) -> None:
     """Snapshot number v of a table. Earlier ones stay, as the data may be read from them."""
-    conform(df, name).write.mode("overwrite").parquet(f"{root}/{name}/v={v}")
+    conform(df, name).write.mode("overwrite").parquet(f"{root}/{name}/snapshot={v}")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.etree import ElementTree
 
@@ -147,23 +149,88 @@ def _joined(node) -> str:
     return "".join(t.text or "" for t in node.iter() if _local(t.tag) == "t")
 
 
+_PDF_STREAM = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_PDF_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|\b(T\*|Td|TD|Tm|ET)\b", re.S)
+_PDF_PART = re.compile(rb"\(((?:[^()\\]|\\.)*)\)|(-?\d+(?:\.\d+)?)", re.S)
+_PDF_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.S)
+
+
+def _pdf_string(raw: bytes) -> str:
+    named = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+    plain = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1].endswith(b"\n") else named.get(m[1], m[1])
+    return _PDF_ESCAPE.sub(plain, raw).decode("cp1252", "replace")
+
+
+def _pdf_pages(raw: bytes) -> list[str]:
+    """Text of the pages of a plain PDF: literal strings of their content streams, raw or deflated, in the order of the file's page objects."""
+    objects = {int(m[1]): m[2] for m in _PDF_STREAM.finditer(raw)}
+    pages = [body for body in objects.values() if re.search(rb"/Type\s*/Page\b", body)]
+    out = []
+    for page in pages:
+        said: list[str] = []
+        ref = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
+        for number in re.findall(rb"(\d+)\s+\d+\s+R", ref[1] if ref else b""):
+            body = objects.get(int(number), b"")
+            head, _, tail = body.partition(b"stream")
+            data = tail.lstrip(b"\r").removeprefix(b"\n").rpartition(b"endstream")[0]
+            if b"FlateDecode" in head:
+                data = zlib.decompressobj().decompress(data)
+            for one, several, move in _PDF_SHOWN.findall(data):
+                if move:
+                    said.append("\n")
+                elif several:  # a wide gap between parts is a blank
+                    said += [_pdf_string(x) if not gap else " " if float(gap) < -200 else "" for x, gap in _PDF_PART.findall(several)]
+                else:
+                    said.append(_pdf_string(one))
+        out.append("\n".join(x for x in (" ".join(line.split()) for line in "".join(said).split("\n")) if x))
+    return out
+
+
 def pdf(raw: bytes, ext: str, stem: str) -> list[Block]:
-    """Pages, if a PDF reader is installed."""
+    """Pages with text: by a PDF reader if one is installed, else those of a plain, unencrypted file. Empty pages are left out."""
     try:
         from pypdf import PdfReader
-    except ImportError as e:
-        raise ValueError("no PDF reader is installed") from e
-    reader = PdfReader(io.BytesIO(raw))
-    if reader.is_encrypted and not reader.decrypt(""):
-        raise ValueError("the file is encrypted")
-    pages = [(k, (p.extract_text() or "").strip()) for k, p in enumerate(reader.pages, 1)]
-    if not any(t for _, t in pages):
+    except ImportError:
+        if b"/Encrypt" in raw:
+            raise ValueError("the file is encrypted") from None
+        texts = _pdf_pages(raw)
+    else:
+        reader = PdfReader(io.BytesIO(raw))
+        if reader.is_encrypted and not reader.decrypt(""):
+            raise ValueError("the file is encrypted")
+        texts = [(p.extract_text() or "").strip() for p in reader.pages]
+    if not any(texts):
         raise ValueError("the file has no text")
-    return [block("page", t, f"page {k}") for k, t in pages if t]
+    return [block("page", t, f"page {k}") for k, t in enumerate(texts, 1) if t]
+
+
+def picture(raw: bytes) -> dict[str, str]:
+    """Format, width and height of an image's head, and the day that its EXIF data say, where they can be read."""
+    out: dict[str, str] = {}
+    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
+        out = dict(zip(("format", "width", "height"), ("png", *map(str, struct.unpack(">II", raw[16:24])))))
+    elif raw[:6] in (b"GIF87a", b"GIF89a") and len(raw) >= 10:
+        out = dict(zip(("format", "width", "height"), ("gif", *map(str, struct.unpack("<HH", raw[6:10])))))
+    elif raw[:2] == b"BM" and len(raw) >= 26:
+        out = dict(zip(("format", "width", "height"), ("bmp", *(str(abs(x)) for x in struct.unpack("<ii", raw[18:26])))))
+    elif raw[:2] == b"\xff\xd8":
+        out, at = {"format": "jpeg"}, 2
+        while at + 9 < len(raw) and raw[at] == 0xFF:
+            kind, size = raw[at + 1], int.from_bytes(raw[at + 2 : at + 4], "big")
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                out["height"], out["width"] = (str(x) for x in struct.unpack(">HH", raw[at + 5 : at + 9]))
+                break
+            at += 2 + size
+    if day := re.search(rb"Exif\x00\x00.{8,4096}?((?:19|20)\d\d):([01]\d):([0-3]\d) [0-2]\d:[0-5]\d:[0-5]\d\x00", raw[:70_000], re.S):
+        out["taken"] = b"-".join(day.groups()).decode()
+    return out
 
 
 def image(raw: bytes, ext: str, stem: str) -> list[Block]:
-    return [block("image", stem.replace("_", " ").replace("-", " "), "name only")]
+    """The name as words; what the head says of the image is the label."""
+    known = picture(raw)
+    said = " ".join(x for x in (known.get("format", ""), f"{known['width']}x{known['height']}" if "width" in known else "", known.get("taken", "")) if x)
+    return [block("image", stem.replace("_", " ").replace("-", " "), f"name only; {said}" if said else "name only")]
 
 
 Extractor = Callable[[bytes, str, str], list[Block]]
