@@ -14,8 +14,10 @@ from ._cluster import SMALL_ROWS, Tables, keep_ids
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Low bits of a fingerprint that hold its position; the rest is the gram's hash.
-_PLACE = 26
+#: Low bits of a fingerprint that hold its position, which no string's words exceed; the rest is the gram's hash.
+_PLACE = 30
+#: First words of short items that are looked for in place; where there are more, every place is joined.
+FIRST_WORDS = 2000
 #: Words of a gram; windows of fewer words use grams of one word less than the window.
 GRAM = 8
 
@@ -84,11 +86,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     full = _sized(windows.where(F.col("size") == window))
     hits = cut.select("key", F.col("x.start").alias("start"), F.col("x.window").alias("window")).join(full, "window").select("key", "start", "size", "items")
 
-    # items of fewer words than a window have no fingerprint: their whole sequences are joined, by length
-    for r in windows.where(F.col("size") < window).select("size").distinct().collect():
-        short = _sized(windows.where(F.col("size") == r["size"]))
-        mine = worded.where(F.col("n_words") >= r["size"]).select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - r["size"]), lambda i: F.array_join(F.slice("words", i + 1, r["size"]), " "))).alias("start", "window"))
-        hits = hits.unionByName(mine.join(short, "window").select("key", "start", "size", "items").distinct())
+    # items of fewer words than a window have no fingerprint: where their first word stands, as many words as each of
+    # their lengths are joined to them, in one pass over the texts
+    sizes = sorted(r["size"] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # less than `window` numbers
+    if sizes:
+        short = windows.where(F.col("size") < window)
+        first = [r.word for r in short.select(F.substring_index("window", " ", 1).alias("word")).distinct().limit(FIRST_WORDS + 1).collect()]
+        here = lambda i: F.get("words", i).isin(first) if len(first) <= FIRST_WORDS else F.lit(True)
+        spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
+        run = lambda i, n: F.when(i + n <= F.size("words"), F.struct(i.alias("start"), F.array_join(F.slice("words", i + 1, n), " ").alias("window")))
+        runs = F.flatten(F.transform(spots, lambda i: F.array_compact(F.array(*[run(i, n) for n in sizes]))))
+        mine = worded.where("n_words > 0").select("key", F.explode(runs).alias("x")).select("key", "x.start", "x.window")
+        hits = hits.unionByName(mine.join(_sized(short), "window").select("key", "start", "size", "items").distinct())
     hits = tables("hits", hits)
 
     spots = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))

@@ -3,7 +3,7 @@
 Rolling word k-grams of every document meet the grams of license templates in a Spark join; each meeting votes
 for the diagonal (document place minus template place). Votes are summed by diagonal, neighbouring diagonals are
 merged, so that an inserted or lost word doesn't break a match, and spans are verified by the share of the template
-that they cover. A base phrase is a template whose diagonal must have every vote.
+that they cover; of overlapping matches the best stays. A base phrase is a template whose diagonal must have every vote.
 """
 
 from __future__ import annotations
@@ -18,21 +18,38 @@ from ._cluster import Tables
 
 # Phrases whose words must stand consecutively, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Notices of well-known public licenses, by label.
+_WARRANTY = "in no event shall the {who} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_AS_IS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+_GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free software foundation either version {n} of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {kind} public license for more details"
+# Texts and notices of well-known public licenses, by label.
 NOTICES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "apache-terms": "grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    "gpl": _GNU.format(kind="general", n=3),
+    "lgpl": _GNU.format(kind="lesser general", n=3).replace("this program", "this library"),
+    "agpl": _GNU.format(kind="affero general", n=3),
+    "bsd-2-clause": _BSD + _AS_IS + _WARRANTY.format(who="copyright holder or contributors"),
+    "bsd-3-clause": _BSD + "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _AS_IS + _WARRANTY.format(who="copyright holder or contributors"),
+    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented",
+    "boost": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
     "cc": "this work is licensed under a creative commons attribution",
-    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    "cc0": "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
 }
 #: Words of a gram in notices; base phrases use two.
 NOTICE_GRAM = 4
-#: Diagonals at most so far apart are one match.
+#: Diagonals at most so far apart are neighbours.
 BAND = 4
+#: A match's diagonals lie at most so far apart, so that a chain of neighbours can't drift away from its template.
+DRIFT = 24
 #: Least share of a notice's grams for a label.
 COVER = 0.5
 
@@ -84,7 +101,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A-Z become a-z; words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; null texts have none. n_base counts every place where a base
     phrase's words stand consecutively; first_word and last_word are the least and greatest such place. labels adds
-    notices of which at least COVER is there. score is 1 with a base label, else the greatest share of a notice.
+    notices of which at least COVER is there and of which no overlapping one covers more. score is 1 with a base label, else the greatest share of a notice.
     Rows that repeat an id are judged each by itself; null ids are kept; other columns are ignored; an empty table
     gives an empty result. Templates are parameters held by the driver; only places that meet one are shuffled.
     """
@@ -102,14 +119,24 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     diagonals = diagonals.join(F.broadcast(head), "template")
 
     exact = diagonals.where("kind = 'base' AND size(spots) = needed").select("row", "template", "label", F.col("diagonal").alias("start"))
-    in_order = "PARTITION BY row, template ORDER BY diagonal, first"
-    loose = diagonals.where("kind = 'notice'").withColumn("new", F.expr(f"CASE WHEN diagonal - lag(diagonal) OVER ({in_order}) <= {BAND} THEN 0 ELSE 1 END"))
-    loose = loose.withColumn("match", F.expr(f"sum(new) OVER ({in_order} ROWS UNBOUNDED PRECEDING)"))
-    loose = loose.groupBy("row", "template", "label", "needed", "match").agg(F.size(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("n"), F.min("first").alias("start"), F.max("last").alias("end"))
-    loose = loose.withColumn("share", F.col("n") / F.col("needed"))
+    of = F.array_sort(F.collect_list(F.struct("diagonal", "first", "last", "spots")))
+    # diagonals in order: one joins the match before it if it is its neighbour and the match stays narrow
+    fresh = lambda x: F.struct(x["diagonal"].alias("low"), x["diagonal"].alias("high"), x["first"].alias("start"), x["last"].alias("end"), x["spots"].alias("spots"))
+    joins = lambda m, x: (x["diagonal"] - m["high"] <= BAND) & (x["diagonal"] - m["low"] <= DRIFT)
+    grown = lambda m, x: F.struct(m["low"].alias("low"), x["diagonal"].alias("high"), F.least(m["start"], x["first"]).alias("start"), F.greatest(m["end"], x["last"]).alias("end"), F.array_union(m["spots"], x["spots"]).alias("spots"))
+    step = lambda acc, x: F.when((F.size(acc) > 0) & joins(F.try_element_at(acc, F.lit(-1)), x), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown(F.try_element_at(acc, F.lit(-1)), x)))).otherwise(F.concat(acc, F.array(fresh(x))))
+    none = F.array().cast("array<struct<low:bigint,high:bigint,start:bigint,end:bigint,spots:array<bigint>>>")
+    loose = diagonals.where("kind = 'notice'").groupBy("row", "template", "label", "needed").agg(of.alias("of"))
+    loose = loose.select("row", "template", "label", "needed", F.explode(F.aggregate("of", none, step)).alias("m"))
+    loose = loose.select("row", "template", "label", "m.start", "m.end", (F.size("m.spots") / F.col("needed")).alias("share"), F.size("m.spots").alias("n"))
+    # licenses share sentences: of matches that overlap, the one that covers most of its template stays, then the longer one
+    cover = loose.where(F.col("share") >= COVER)
+    rivals = cover.groupBy("row").agg(F.collect_list(F.struct("share", "n", "label", "start", "end")).alias("rivals"))
+    beats = lambda r: (r["start"] <= F.col("end")) & (r["end"] >= F.col("start")) & (F.struct(r["share"], r["n"], r["label"]) > F.struct("share", "n", "label"))
+    cover = cover.join(rivals, "row").where(~F.exists("rivals", beats)).drop("rivals")
 
     b = exact.groupBy("row").agg(F.count(F.lit(1)).alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base"))
-    m = loose.groupBy("row").agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= COVER, F.col("label"))).alias("found"))
+    m = loose.groupBy("row").agg(F.max("share").alias("share")).join(cover.groupBy("row").agg(F.collect_set("label").alias("found")), "row", "left")
     none = F.array().cast("array<string>")
     out = met.where("place = -1").select("row", "id", "n_words").join(b, "row", "left").join(m, "row", "left")
     own = F.coalesce("base", none)
@@ -120,5 +147,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     if not spans:
         return out
-    found = exact.select("row", "label", "start", F.lit(1.0).alias("share")).unionByName(loose.where(F.col("share") >= COVER).select("row", "label", "start", "share"))
+    found = exact.select("row", "label", "start", F.lit(1.0).alias("share")).unionByName(cover.select("row", "label", "start", "share"))
     return out, met.where("place = -1").select("row", F.col("id").alias(id_col)).join(found, "row").drop("row")

@@ -207,8 +207,8 @@ def test_plan_keeps_every_capacity(score):
     assert used == collections.Counter(counts)
 
 
-def test_decontaminate(spark, docs, none):
-    items = [(1, ITEM), (2, "short piece"), (3, None), (4, "..."), (12, ITEM), (5, ITEM.replace("mu", "nu"))]
+def test_decontaminate(spark, docs, none, monkeypatch):
+    items = [(1, ITEM), (2, "short piece"), (3, None), (4, "..."), (12, ITEM), (5, ITEM.replace("mu", "nu")), (6, "One"), (8, "x x x"), (9, "this is a line of"), (10, "Is a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOW))
     windows = collections.defaultdict(set)
@@ -226,6 +226,8 @@ def test_decontaminate(spark, docs, none):
                     found |= ids
         want.append((r[0], len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     assert counted(decontam.decontaminate(docs, bench).collect()) == counted(want)
+    monkeypatch.setattr(decontam, "FIRST_WORDS", 1)
+    assert counted(decontam.decontaminate(docs, bench).collect()) == counted(want)
     assert decontam.decontaminate(none, bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
@@ -244,10 +246,43 @@ def test_license_scan(docs, none):
 
 
 def test_license_notice_with_an_inserted_word(spark):
-    words = license_scan.NOTICES["bsd"].split()
+    words = license_scan.NOTICES["bsd-3-clause"].split()
     df = spark.createDataFrame([(1, " ".join([*words[:20], "inserted", *words[20:]])), (2, "redistribution and use")], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.license_scan(df).collect()}
-    assert got[1].labels == "bsd" and got[1].score > 0.8 and got[2].labels == ""
+    assert got[1].labels == "bsd-3-clause" and got[1].score > 0.8 and got[2].labels == ""
+
+
+def test_license_texts_are_told_apart(spark):
+    """Every notice, changed a little and among other words, gives its own label and place, twice if it stands twice."""
+    rng = random.Random(9)
+    made, want = [], {}
+    for label, notice in license_scan.NOTICES.items():
+        words = notice.split()
+        changed = [w for i, w in enumerate(words) if i % 29 != 11 or len(words) < 20]
+        head = sentence(rng, rng.randrange(3, 60))
+        made.append((len(made), f"{head} {' '.join(changed)} {sentence(rng, 20)}"))
+        want[len(made) - 1] = (label, len(re.findall("[a-z0-9ü]+", head.lower())))
+    both = f"{license_scan.NOTICES['mpl']} {sentence(rng, 30)} {license_scan.NOTICES['lgpl']}"
+    made += [(100, both), (100, both), (101, None), (102, ""), (103, " ".join(sentence(rng, 3) + " of the software" for _ in range(400)))]
+    out, spans = license_scan.license_scan(spark.createDataFrame(made, "doc_id long, text string").repartition(3), spans=True)
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r.doc_id].append(set(filter(None, r.labels.split(","))) - set(r.base_labels.split(",")))
+    for i, (label, _) in want.items():
+        assert got[i] == [{label} - {"apache", "gpl"}], label  # those are base labels as well
+    assert got[100] == [{"mpl", "lgpl"}] * 2 and got[101] == got[102] == got[103] == [set()]
+    starts = collections.defaultdict(set)
+    for r in spans.collect():
+        starts[r.doc_id, r.label].add(r.start)
+    assert all(at in starts[i, label] for i, (label, at) in want.items())
+
+
+def test_license_chains_do_not_drift(spark):
+    """Grams of one notice that wander over the diagonals are no match, however near each is to the next."""
+    words = license_scan.NOTICES["mpl"].split()
+    text = " ".join(w for i in range(0, len(words) - 4, 2) for w in [*words[i : i + 4], "x"])
+    far = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), notices={"mpl": " ".join(words)}, base={}).first()
+    assert 0 < far.score < 1
 
 
 def test_line_dedup(docs, none):
