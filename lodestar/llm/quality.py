@@ -142,9 +142,9 @@ def _equations(model: Model):
         d = WAVES + 1
         a, b = np.zeros((d, d)), np.zeros(d)
         for batch in batches:
-            z, y, weight = model.waves(_matrix(batch.column("x"))), np.asarray(batch.column("y"), dtype=float), 1.0
-            a += z.T @ (z * weight)
-            b += z.T @ (y * weight)
+            z, y = model.waves(_matrix(batch.column("x"))), np.asarray(batch.column("y"), dtype=float)
+            a += z.T @ z
+            b += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel(), b])])], names=["m"])
 
     return run

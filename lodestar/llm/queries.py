@@ -130,7 +130,8 @@ def vocabulary() -> str:
 
 @register
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary(), tokens=1024, end=2)
+    """The token capacity is the contract's. The others follow from it, as no piece is empty: they can't bind, but are scored."""
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), tokens=1024, end=2, documents=1024, attention=1024**2)
 
 
 @register
@@ -139,7 +140,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(id_col) -> F.Column:
-    return F.crc32(id_col.cast("string")) % 4 == 2
+    """Whether a row is kept from learning; a row without an id has no label and is not held out."""
+    return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
 @register
