@@ -28,10 +28,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has; those of which nothing is left go."""
-    cut = line_dedup(docs).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
+    """Documents without the lines that an earlier one has; those of which nothing is left go. n_chars follows the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = line_dedup(docs.select("doc_id", "text", F.struct(*others).alias("others")))  # no other column can clash there
+    cut = cut.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     text = F.col("kept_text")
-    return cut.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return cut.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c if c == "doc_id" else f"others.`{c}`").alias(c) for c in docs.columns])
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, packed into sequences of at most 1024 tokens."""
-    return pack(docs, vocabulary(), tokens=1024, end=2)
+    return pack(docs, vocabulary(), tokens=1024, end=2, documents=1024, attention=1024**2)
 
 
 STAGES = [
