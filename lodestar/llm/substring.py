@@ -4,8 +4,9 @@ Suffixes of all texts are partitioned by prefixes of variable length, and each g
 suffix tree of its own. A suffix matters as far as its first window. Its prefix starts at the window's minimiser (the
 least of the PREFIX-word hashes in it), so equal windows have equal prefixes at equal offsets, and neighbouring windows
 with one minimiser travel as one segment of words. The first prefix is the minimiser's own PREFIX words and stands for
-all offsets. A prefix of more than GROUP suffixes is made longer: its offsets are halved, and each half has more words
-in common, on the one side or the other, up to the whole window. A prefix with one suffix is dropped.
+all offsets. A prefix of more than GROUP unlike segments is made longer: its offsets are halved, and each half has more
+words in common, on the one side or the other, up to the whole window. Which prefixes are to grow is kept in a bitmap of
+fixed size; what falls into the same cell grows with them, everywhere alike. A prefix with one suffix is dropped.
 
 A task holds whole groups, builds their trees as a sorted suffix array with the lengths of common prefixes, and takes for
 each suffix the depth of its deepest inner node: if that is a window or more, so many words are a repeat, and the
@@ -27,8 +28,10 @@ from ._cluster import Tables, keep_ids, sized
 
 #: Words of the first, shortest prefix of a suffix.
 PREFIX = 8
-#: Suffixes that share a prefix before it is made longer.
+#: Unlike segments that share a prefix before it is made longer.
 GROUP = 4096
+#: Cells of the bitmap of prefixes that are made longer.
+CELLS = 1 << 20
 #: Words of the segments that a task builds trees of at once.
 TREE_WORDS = 400_000
 #: Bytes that stand for a word inside a segment.
@@ -84,6 +87,16 @@ class _Segments:
             out[mine] = self.sums[k][self.p[mine] - self.first[mine]]
         return K.mix(out + (self.first * 64 + self.last).astype(K.U))
 
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes of each run's segment of words, the words' places, and the words of each segment."""
+        size = self.hi - self.lo + self.window
+        prior = np.cumsum(size) - size
+        spots = np.repeat(self.lo - prior, size) + np.arange(size.sum())
+        place = (np.arange(len(spots)) - np.repeat(prior, size)).astype(K.U)
+        core, hashes = self.core(), self.w.hashes[spots]
+        one, two = (K.mix(np.add.reduceat(K.mix(hashes + place * odd), prior) + core + size.astype(K.U)) if len(size) else core for odd in (K.U(0x9E3779B97F4A7C15), K.U(0xC2B2AE3D27D4EB4F)))
+        return one, two, spots, size
+
     def take(self, rows: np.ndarray) -> None:
         for name in ("p", "lo", "hi", "first", "last", "doc"):
             setattr(self, name, getattr(self, name)[rows])
@@ -106,49 +119,55 @@ class _Segments:
 
 
 def _index(window: int):
-    """Per document: id, row key, words, digest of all words and the first prefixes of its suffixes."""
+    """Per document: id, row key, words, digest of all words, and the first prefixes of its suffixes with their segments."""
 
     def run(batches):
         for batch in batches:
             ids, keys, text = batch.columns
             for i, j, w in K.hashed(text, K.BLANKS, False):
                 runs = _Segments(w, window)
-                prefixes = runs.core()
                 bounds = np.searchsorted(runs.p, w.bounds)
                 digests = [hashlib.sha256(b" ".join(t.encode().split()) if t else b"").digest() for t in text.slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), keys.slice(i, j - i), pa.array(w.counts, pa.int64()), pa.array(digests, pa.binary()), K.list_array(K.signed(prefixes), bounds, pa.int64())],
-                    names=["id", "key", "n_words", "sha", "prefixes"],
+                    [ids.slice(i, j - i), keys.slice(i, j - i), pa.array(w.counts, pa.int64()), pa.array(digests, pa.binary()), K.list_array(K.signed(runs.core()), bounds, pa.int64()), K.list_array(K.signed(runs.told()[0]), bounds, pa.int64())],
+                    names=["id", "key", "n_words", "sha", "prefixes", "told"],
                 )
 
     return run
 
 
-def _runs(batch: pa.RecordBatch, window: int, grown: int):
-    """(rows i to j, runs under shared prefixes, split where a prefix of their document is hot) of texts with the columns key, text, prefixes, hot; `grown` times."""
-    _, text, *lists = batch.columns
-    flat = [(np.asarray(x.flatten()), np.asarray(x.offsets)) for x in lists]
-    flat = [(values, at - at[0]) for values, at in flat]
-    for i, j, w in K.hashed(text, K.BLANKS, False):
-        runs = _Segments(w, window)
-        (shared, by), (hot, hot_by) = ((v[at[i] : at[j]], np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))) for v, at in flat)
-        runs.take(runs.within(shared, by))
-        for _ in range(grown):
-            runs.split(runs.within(hot, hot_by))
-        yield i, j, runs
+def _grown(w: K.Words, window: int, growing: list[np.ndarray]) -> _Segments:
+    """Runs of a slice, each split while its prefix is in the bitmap of its level."""
+    runs = _Segments(w, window)
+    for bits in growing:
+        runs.split(bits[(runs.core() & K.U(CELLS - 1)).astype(np.int64)])
+    return runs
 
 
-def _longer(window: int, grown: int):
-    """Per document: the prefixes of the runs that the last split has made."""
+def _longer(window: int, packed: list[np.ndarray], most: int = 1 << 18):
+    """Distinct (prefix, segment) of the runs that the last split has made, of what a task has in hand."""
+    total = window - min(PREFIX, window)
 
     def run(batches):
+        growing = [np.unpackbits(x).astype(bool) for x in packed]
+        cores, told, n = [], [], 0
+
+        def out():
+            both = np.unique(np.stack([np.concatenate(cores), np.concatenate(told)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(K.signed(np.ascontiguousarray(both[:, k]))) for k in (0, 1)], names=["core", "told"])
+
         for batch in batches:
-            for i, j, runs in _runs(batch, window, grown):
-                width = runs.last - runs.first
-                runs.take(width < (window - min(PREFIX, window)) >> (grown - 1))
-                order = np.argsort(runs.doc, kind="stable")
-                at = np.searchsorted(runs.doc[order], np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), K.list_array(K.signed(runs.core()[order]), at, pa.int64())], names=["key", "cores"])
+            for _, _, w in K.hashed(batch.column(0), K.BLANKS, False):
+                runs = _grown(w, window, growing)
+                runs.take(runs.last - runs.first < total >> (len(growing) - 1))
+                cores.append(runs.core())
+                told.append(runs.told()[0])
+                n += len(cores[-1])
+                if n >= most:
+                    yield out()
+                    cores, told, n = [], [], 0
+        if n:
+            yield out()
 
     return run
 
@@ -157,7 +176,7 @@ def _coded(hashes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :CODE]
 
 
-def _segments(window: int, grown: int, most: int = 1 << 20):
+def _segments(window: int, packed: list[np.ndarray], most: int = 1 << 20):
     """Segments under their prefixes, as rows (core, key, start, words, covered).
 
     A segment seen once in what a task has in hand is a row of its own. Of one seen more often every place is known to
@@ -195,18 +214,19 @@ def _segments(window: int, grown: int, most: int = 1 << 20):
             yield batch.slice(x, 10_000)
 
     def run(batches):
+        growing = [np.unpackbits(x).astype(bool) for x in packed]
         parts, n = [], 0
         for batch in batches:
-            keys = np.asarray(batch.column(0))
-            for i, _, runs in _runs(batch, window, grown):
-                w, size = runs.w, runs.hi - runs.lo + window
-                prior = np.cumsum(size) - size
-                spots = np.repeat(runs.lo - prior, size) + np.arange(size.sum())
-                core, hashes = runs.core(), w.hashes[spots]
-                # a segment is told by two hashes of its words, its prefix and its size
-                place = (np.arange(len(spots)) - np.repeat(prior, size)).astype(K.U)
-                told = [K.mix(np.add.reduceat(K.mix(hashes + place * odd), prior) + core + size.astype(K.U)) if len(size) else core for odd in (K.U(0x9E3779B97F4A7C15), K.U(0xC2B2AE3D27D4EB4F))]
-                parts.append((K.signed(core), keys[i + runs.doc], runs.lo - w.bounds[runs.doc], size, *told, _coded(hashes)))
+            keys, shared = np.asarray(batch.column(0)), batch.column(2)
+            flat, at = np.asarray(shared.flatten()), np.asarray(shared.offsets)
+            at = at - at[0]
+            for i, j, w in K.hashed(batch.column(1), K.BLANKS, False):
+                runs = _Segments(w, window)
+                runs.take(runs.within(flat[at[i] : at[j]], np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))))
+                for bits in growing:
+                    runs.split(bits[(runs.core() & K.U(CELLS - 1)).astype(np.int64)])
+                one, two, spots, size = runs.told()
+                parts.append((K.signed(runs.core()), keys[i + runs.doc], runs.lo - w.bounds[runs.doc], size, one, two, _coded(w.hashes[spots])))
                 n += len(spots)
                 if n >= most:
                     yield from flush(parts)
@@ -319,6 +339,30 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary()), pa.array(e)], names=["id", "n_words", "n_removed", "sha", "kept"])
 
 
+def _to_grow(index: DataFrame, inner: DataFrame, text: DataFrame, tables: Tables, window: int) -> list[np.ndarray]:
+    """Bitmaps of the prefixes that are made longer, level by level: those of more than GROUP unlike segments."""
+
+    def bitmap(pairs: DataFrame) -> np.ndarray:
+        hot = pairs.distinct().groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+        cells = [r.cell for r in hot.select(F.col("core").bitwiseAND(CELLS - 1).alias("cell")).distinct().collect()]  # at most CELLS
+        bits = np.zeros(CELLS, dtype=bool)
+        bits[cells] = True
+        return np.packbits(bits)
+
+    many = tables("many", inner.where(F.col("n") > GROUP).select("core"))
+    if many.isEmpty():
+        return []
+    listed = F.explode(F.arrays_zip(F.col("prefixes").alias("core"), F.col("told").alias("told")))
+    runs = index.select("key", listed.alias("run")).select("key", "run.core", "run.told").join(sized(many), "core")
+    runs = tables("runs", runs)
+    packed = [bitmap(runs.select("core", "told"))]
+    held = tables("warm", runs.select("key").distinct())
+    warm = keep_ids(text, held, "key").select("text")
+    while packed[-1].any() and (window - min(PREFIX, window)) >> len(packed):
+        packed.append(bitmap(warm.mapInArrow(_longer(window, packed), "core long, told long")))
+    return packed if packed[-1].any() else packed[:-1]
+
+
 def repeated_words(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256 (and kept_text if texts is set).
 
@@ -333,25 +377,13 @@ def repeated_words(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         raise ValueError("window must be at least 1")
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[id_col], docs[text_col]).alias("key"), docs[text_col].alias("text"))
     tables = Tables(docs.sparkSession, "suffix")
-    index = tables("index", rows.mapInArrow(_index(window), "id long, key long, n_words long, sha binary, prefixes array<long>"))
+    index = tables("index", rows.mapInArrow(_index(window), "id long, key long, n_words long, sha binary, prefixes array<long>, told array<long>"))
     suffixes = index.select("key", F.explode("prefixes").alias("core"))
-    inner = tables("inner", suffixes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", (F.col("n") > GROUP).alias("hot")))
-    held = F.collect_set("core").alias("prefixes"), F.collect_set(F.when(F.col("hot"), F.col("core"))).alias("hot")
-    shared = tables("shared", suffixes.join(inner, "core").groupBy("key").agg(*held))
-
+    inner = tables("inner", suffixes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = tables("shared", suffixes.join(inner.select("core"), "core").groupBy("key").agg(F.collect_set("core").alias("prefixes")))
     text = keep_ids(rows.select("key", "text"), shared.select("key"), "key")
-    grown, hot = 0, inner.where("hot")
-    while (window - min(PREFIX, window)) >> grown and not hot.isEmpty():
-        # documents with a hot prefix say what it would be if it were longer, and those still hot are added
-        grown += 1
-        warm = shared.where(F.size("hot") > 0)
-        longer = text.join(sized(warm, "prefixes"), "key").select("key", "text", "prefixes", "hot").mapInArrow(_longer(window, grown), "key long, cores array<long>").select("key", F.explode("cores").alias("core"))
-        longer = tables(f"longer-{grown}", longer)
-        hot = tables(f"hot-{grown}", longer.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("core"))
-        more = longer.join(sized(hot), "core").groupBy("key").agg(F.collect_set("core").alias("more"))
-        shared = tables(f"shared-{grown}", shared.join(more, "key", "left").select("key", "prefixes", F.concat("hot", F.coalesce("more", F.array().cast("array<long>"))).alias("hot")))
-    once = text.join(shared, "key").select("key", "text", "prefixes", "hot")
-    segments = once.mapInArrow(_segments(window, grown), "core long, key long, start long, words binary, covered array<long>")
+    packed = _to_grow(index, inner, text, tables, window)
+    segments = text.join(shared, "key").select("key", "text", "prefixes").mapInArrow(_segments(window, packed), "core long, key long, start long, words binary, covered array<long>")
     found = segments.repartition("core").sortWithinPartitions("core").mapInArrow(_trees(window), "key long, covered array<long>")
     hit = tables("hit", found.groupBy("key").agg(F.flatten(F.collect_list("covered")).alias("places")))
 
