@@ -7,7 +7,7 @@ import struct
 from functools import cache
 
 #: Entries that a worker's word cache holds at most; a full cache is emptied.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: A space next to other white space: such texts are encoded whole, as words there depend on their neighbours.
 _UNEVEN = re.compile(r" \s|\s ")
 #: The pattern by which this kind of vocabulary cuts a text before merging.
