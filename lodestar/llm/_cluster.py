@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 200_000
 #: Bytes of an Arrow batch on its way to or from a Python worker, where the session leaves them at Spark's default.
 BATCH_BYTES = 4 << 20
+# Fixed value: Spark's default for that.
+SPARK_BATCH_BYTES = "67108864b"
 #: Tables written in this context and not yet deleted.
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
@@ -24,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a local master gets a folder of its own and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         base = spark.sparkContext.getCheckpointDir()
@@ -34,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, so that long texts don't add up in a worker; a session's own bound stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.sparkContext.getConf().get(name) is None:
+    if spark.conf.get(name, SPARK_BATCH_BYTES) == SPARK_BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

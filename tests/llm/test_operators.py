@@ -675,3 +675,39 @@ def test_pipeline_against_its_stages_written_out(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, str(tmp_path))
         assert kept.columns == d.columns
+
+
+def test_tables_are_deleted_and_folders_checked(spark, docs, tmp_path, monkeypatch):
+    import os
+
+    from lodestar.llm import _cluster as C
+
+    folder = f"{C.shared_folder(spark).removeprefix('file:')}/tables"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with C.sweeping(spark):
+        out = ngram_join.ngram_join(docs, size=4, percent=85)
+        made = set(os.listdir(folder)) - before
+        assert len(made) == 2 and out.count() == len(rows())
+    assert set(os.listdir(folder)) - before == set()
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://far:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        C.shared_folder(Session())
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "1000000")
+    C.small_batches(spark)
+    assert spark.conf.get(name) == "1000000"
+    spark.conf.set(name, kept)
