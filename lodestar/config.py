@@ -10,6 +10,8 @@ from urllib.parse import urlparse
 
 FILE_NAME = "lodestar.toml"
 
+# The defaults of all settings below, on which results depend.
+
 
 class ConfigError(ValueError):
     """A setting is unknown or out of range."""
