@@ -61,7 +61,7 @@ def dimension_check(spark, sf_dir):
     return vectors(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), F.size(V.checked(F.col("v"), 64)).alias("dimension"))
 
 
-@query("SELECT item_id, 64 AS dimension, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1.0 ELSE 0.0 END AS norm FROM benchmark")
+@query("SELECT item_id, 64 AS dimension, CAST(CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1 ELSE 0 END AS DOUBLE) AS norm FROM benchmark")
 def hashed_embedding(spark, sf_dir):
     """Length and dimension of each vector; the positions themselves are compared in the tests, as the SQL has no such hash."""
     d = table(spark, sf_dir, "benchmark").select("item_id", V.hashed_terms(F.col("text"), 64).alias("v"))
