@@ -115,6 +115,32 @@ def test_similarities_in_blocks(spark, monkeypatch):
         V.similarities(spark.createDataFrame([(1, [1.0])], "query_id long, v array<double>"), docs).collect()
 
 
+def _star(spark, n):
+    """Edges from file:0 to n others, from file:1 to file:2 ... and from each of these to a vertex of its own."""
+    rows = [("file:0", f"file:{i}", "semantic", 1.0 - i / 1e4) for i in range(1, n + 1)] + [(f"file:{i}", f"file:{i + 10_000}", "semantic", 0.5) for i in range(1, n + 1)]
+    rows += [("file:1", f"file:{i}", "semantic", 0.999 - i / 1e5) for i in range(2, n + 1)]
+    return spark.createDataFrame(rows, "src string, dst string, type string, weight double")
+
+
+def test_two_hop_query_has_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(GQ, "_edges", lambda *_: _star(spark, 300))
+    monkeypatch.setattr(GQ, "_seeds", lambda *_: spark.createDataFrame([(0, "file:0")], "query_id long, node string"))
+    assert GQ.two_hop_expand(spark, "").count() == 601
+
+
+@pytest.mark.parametrize("cap", [1, 3, 7, 40, 61, 100])
+def test_capped_hops_are_the_first_of_all(spark, cap):
+    e = _star(spark, 30)
+    seeds = spark.createDataFrame([(0, "file:0"), (1, "file:0"), (1, "file:1"), (2, "file:1"), (3, "file:30"), (3, "file:30")], "query_id long, node string")
+    want = {}
+    for r in sorted(G.two_hops(e, seeds, ["semantic"], None).collect(), key=lambda r: (r.hop, -r.weight, r.node)):
+        want.setdefault(r.query_id, []).append((r.node, r.hop, r.weight))
+    got = {}
+    for r in G.two_hops(e, seeds, ["semantic"], cap).collect():
+        got.setdefault(r.query_id, set()).add((r.node, r.hop, r.weight))
+    assert got == {q: set(rows[:cap]) for q, rows in want.items()}
+
+
 def test_duplicates_need_both_signs(spark):
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:55] + ["x"] * 5)), (3, " ".join(words[::-1])), (4, " ".join(words)), (5, None)], "file_id long, text string")
