@@ -24,6 +24,7 @@ from lodestar.operators import blocks as B
 from lodestar.operators import entities as E
 from lodestar.operators import evaluation as M
 from lodestar.operators import graph as G
+from lodestar.operators import retrieval as R
 from lodestar.operators import sessions as S
 from lodestar.operators import store
 from lodestar.operators import vectors as V
@@ -160,6 +161,27 @@ def test_pairwise_scores_count_pairs(spark, monkeypatch, several):
         assert S.pairwise_scores(frame([]), frame([])).first().f1 == 0.0
 
 
+def test_dated_files_are_not_multiplied_by_queries(spark, monkeypatch):
+    made, keep = [], R.settled
+    for module in (R, G):
+        monkeypatch.setattr(module, "settled", lambda df, name: made.append((name, (t := keep(df, name)).count())) or t)
+    day = dt.date(2024, 2, 3)
+    q = spark.createDataFrame([(i, [1.0, 0.0], day if i else None, day if i else None, 1.0) for i in range(30)], "query_id long, v array<double>, range_start date, range_end date, cue double")
+    docs = spark.createDataFrame([(i, [float(np.cos(i / 500)), float(np.sin(i / 500))]) for i in range(400)], "doc_id long, v array<double>")
+    line = spark.createDataFrame([(i, day, 0.5) for i in range(300)], "file_id long, day date, score double")
+    members = spark.createDataFrame([(f"session:{i % 3}", i) for i in range(400)], "session_id string, file_id long")
+    sessions = members.select("session_id").distinct().withColumn("cohesion", F.lit(0.4))
+    edges = G.activity_edges(members, sessions).unionByName(G.both_ways(spark.createDataFrame([("file:5", "file:399", "semantic", 0.8)], "a string, b string, type string, weight double")))
+    out = R.retrieve(q, docs, edges, timeline=line, members=members, seeds=2, expanded=20, top=100).collect()
+    assert max(n for name, n in made if "edges" not in name) <= 620  # 29 queries by 300 files are 8,700
+    first = sorted((f"file:{i}" for i in range(300)))[:20]
+    assert {(r.query_id, r.file_id) for r in out if r.query_id} == {(i, int(f[5:])) for i in range(1, 30) for f in first}
+    size = {s: len([i for i in range(400) if i % 3 == s]) for s in range(3)}
+    assert all(r.seed and r.s_graph == 1.0 and r.timeline == 0.5 and r.s_activity == pytest.approx(min(1.0, 1.4 * (0.5 + 0.5 * 100 / size[r.file_id % 3]))) for r in out if r.query_id)
+    plain = {r.file_id: r for r in out if not r.query_id}
+    assert len(plain) == 18 and plain[0].seed and plain[1].seed and plain[102].s_activity == pytest.approx(min(1.0, 1.4 * (0.5 + 0.5 / size[0])))
+
+
 def test_duplicates_need_both_signs(spark):
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:55] + ["x"] * 5)), (3, " ".join(words[::-1])), (4, " ".join(words)), (5, None)], "file_id long, text string")
