@@ -161,6 +161,18 @@ def test_pairwise_scores_count_pairs(spark, monkeypatch, several):
         assert S.pairwise_scores(frame([]), frame([])).first().f1 == 0.0
 
 
+def test_equal_vectors_alone_pair_nothing(spark, monkeypatch):
+    made, keep = [], G.settled
+    monkeypatch.setattr(G, "settled", lambda df, name: made.append((name, (t := keep(df, name)).count())) or t)
+    texts = {i: " ".join(f"w{i * 50 + j}" for j in range(20)) for i in range(300)}
+    texts |= {i: texts[i - 150] for i in range(290, 300)} | {200: texts[100] + " more", 201: None, 202: ""}
+    docs = spark.createDataFrame(list(texts.items()), "file_id long, text string")
+    v = spark.createDataFrame([(i, [0.0, 1.0] if i in (295, 7) else None if i == 296 else [1.0, 0.0]) for i in texts], "doc_id long, v array<double>")
+    got = {(r.a, r.b, r.cosine) for r in G.duplicates(docs, v).collect()}
+    assert got == {(i - 150, i, 1.0) for i in range(290, 300) if i not in (295, 296)} | {(100, 200, 1.0)}
+    assert max(n for name, n in made if name.startswith("duplicate")) <= 300  # 300 equal vectors have 44,850 pairs
+
+
 def test_dated_files_are_not_multiplied_by_queries(spark, monkeypatch):
     made, keep = [], R.settled
     for module in (R, G):
