@@ -116,6 +116,37 @@ def test_similarities_in_blocks(spark, monkeypatch):
         V.similarities(spark.createDataFrame([(1, [1.0])], "query_id long, v array<double>"), docs).collect()
 
 
+def test_similarities_shuffle_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(V, "DOC_BLOCK", 16)
+    m = np.random.default_rng(1).normal(size=(100, 6))
+    m[20:60] = m[0]  # more ties than k in a block and over blocks
+    docs = spark.createDataFrame([(i, m[i].tolist()) for i in range(100)], "doc_id long, v array<float>")
+    sims = V.similarities(docs.select(F.col("doc_id").alias("query_id"), "v"), docs, 3, apart=True)
+    plan = sims._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    f = m.astype(np.float32).astype(float)
+    best = {(r.query_id, r.doc_id) for r in V.top_k(sims, 3).collect()}
+    assert best == {(i, j) for i in range(100) for j in sorted((j for j in range(100) if j != i), key=lambda j: (-round(f[i] @ f[j], 9), j))[:3]}
+
+
+def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from lodestar.operators import cluster
+
+    monkeypatch.setattr(cluster, "shared_folder", lambda _: str(tmp_path))
+    shuffled = lambda: {p.name for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data")}
+    was = shuffled()
+    parts = lambda: cluster.settled(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count(), "way").where("k > 2")
+    assert cluster.settled_from(parts, "end").count() == 4
+    assert [p.name.split("-")[0] for p in (tmp_path / "tables").iterdir()] == ["end"]
+    assert spark.conf.get(cluster.CLEANUP) == "false"
+    assert len(shuffled() - was) <= 1  # that of the count here
+    GQ.ablation_grid(spark, SF).collect()
+    kinds = {p.name.rpartition("-")[0] for p in (tmp_path / "tables").iterdir()} - {"end", "grid-edges"}
+    assert all(k.startswith("ablation-") for k in kinds), kinds
+
+
 def _star(spark, n):
     """Edges from file:0 to n others, from file:1 to file:2 ... and from each of these to a vertex of its own."""
     rows = [("file:0", f"file:{i}", "semantic", 1.0 - i / 1e4) for i in range(1, n + 1)] + [(f"file:{i}", f"file:{i + 10_000}", "semantic", 0.5) for i in range(1, n + 1)]
