@@ -147,6 +147,14 @@ def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
     assert all(k.startswith("ablation-") for k in kinds), kinds
 
 
+def test_coverage_keeps_its_results_only(spark, tmp_path, monkeypatch):
+    from lodestar.operators import cluster
+
+    monkeypatch.setattr(cluster, "shared_folder", lambda _: str(tmp_path))
+    assert GQ.explanation_coverage(spark, SF).count() > 0
+    assert {p.name.rpartition("-")[0] for p in (tmp_path / "tables").iterdir()} == {"coverage-results"}
+
+
 def _star(spark, n):
     """Edges from file:0 to n others, from file:1 to file:2 ... and from each of these to a vertex of its own."""
     rows = [("file:0", f"file:{i}", "semantic", 1.0 - i / 1e4) for i in range(1, n + 1)] + [(f"file:{i}", f"file:{i + 10_000}", "semantic", 0.5) for i in range(1, n + 1)]
