@@ -155,6 +155,26 @@ def test_coverage_keeps_its_results_only(spark, tmp_path, monkeypatch):
     assert {p.name.rpartition("-")[0] for p in (tmp_path / "tables").iterdir()} == {"coverage-results"}
 
 
+@pytest.mark.parametrize("of", ["same_folder"])
+def test_pairs_of_a_large_folder_are_dealt_out(spark, monkeypatch, of):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m"}
+    monkeypatch.setattr(G, "PAIR_PIECE", 4, raising=False)
+    monkeypatch.setattr(G, "PAIRS_A_TASK", 100, raising=False)
+    held = [(i, "p/a" if i % 2 else "p/b") for i in range(60)] + [(60, "q/a"), (61, "q/b"), (62, "q/b"), (63, ""), (64, "")]
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = getattr(G, of)(spark.createDataFrame(held, "file_id long, folder string")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    same = lambda p, q: p == q if of == "same_folder" else p != q and p and q and p.split("/")[0] == q.split("/")[0]
+    want = sorted((a, b) for a, p in held for b, q in held if a < b and same(p, q))
+    assert sorted((r.a, r.b) for r in rows) == want
+    assert len({r.task for r in rows}) > 4
+
+
 def _star(spark, n):
     """Edges from file:0 to n others, from file:1 to file:2 ... and from each of these to a vertex of its own."""
     rows = [("file:0", f"file:{i}", "semantic", 1.0 - i / 1e4) for i in range(1, n + 1)] + [(f"file:{i}", f"file:{i + 10_000}", "semantic", 0.5) for i in range(1, n + 1)]
