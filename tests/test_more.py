@@ -155,7 +155,7 @@ def test_coverage_keeps_its_results_only(spark, tmp_path, monkeypatch):
     assert {p.name.rpartition("-")[0] for p in (tmp_path / "tables").iterdir()} == {"coverage-results"}
 
 
-@pytest.mark.parametrize("of", ["same_folder"])
+@pytest.mark.parametrize("of", ["same_folder", "sibling_folders"])
 def test_pairs_of_a_large_folder_are_dealt_out(spark, monkeypatch, of):
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m"}
     monkeypatch.setattr(G, "PAIR_PIECE", 4, raising=False)
