@@ -175,6 +175,16 @@ def test_pairs_of_a_large_folder_are_dealt_out(spark, monkeypatch, of):
     assert len({r.task for r in rows}) > 4
 
 
+def test_same_folder_works_nothing_out_for_a_pair(spark):
+    """A pair costs its comparison only, as the pairs of a folder are so many; weights and rounding are for blocks."""
+    above = GQ.same_folder_edges(spark, SF)._jdf.queryExecution().executedPlan().toString().partition("Generate")
+    assert above[1] and not any(f in above[0] for f in ("round(", "split(", "least(", "Join"))
+    files = [(i, f) for i, f in enumerate(["a"] * 300 + ["a/b/c"] * 2 + ["", "", None, None])] + [(7, "a")]
+    got = G.same_folder(spark.createDataFrame(files, "file_id long, folder string")).collect()
+    want = [(a, b, 0.6 if f == "a" else 0.8 if f else 0.5) for a, f in files for b, g in files if f is not None and f == g and a < b]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def _star(spark, n):
     """Edges from file:0 to n others, from file:1 to file:2 ... and from each of these to a vertex of its own."""
     rows = [("file:0", f"file:{i}", "semantic", 1.0 - i / 1e4) for i in range(1, n + 1)] + [(f"file:{i}", f"file:{i + 10_000}", "semantic", 0.5) for i in range(1, n + 1)]
