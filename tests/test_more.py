@@ -185,6 +185,25 @@ def test_same_folder_works_nothing_out_for_a_pair(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_sibling_pairs_take_few_bytes(spark, tmp_path):
+    """The pairs of many files come in runs that a column's encoding takes in."""
+    from pathlib import Path
+
+    ids = np.random.default_rng(5).permutation(100_000)[:3_000].tolist()
+    f = spark.createDataFrame([(i, f"p/{'ab'[n % 2]}") for n, i in enumerate(ids)], "file_id long, folder string")
+    G.sibling_folders(f).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1_500 * 1_500
+    assert sum(p.stat().st_size for p in Path(tmp_path / "out").glob("*.parquet")) < 0.6 * 1_500 * 1_500
+
+
+def test_sibling_pairs_of_one_id_stay_as_in_sql(spark):
+    files = [(5, "p/a"), (5, "p/b"), (3, "p/b"), (9, "p/c"), (9, "p/c"), (1, "q/a"), (2, "q/r/a"), (4, "p"), (6, ""), (8, None)]
+    got = G.sibling_folders(spark.createDataFrame(files, "file_id long, folder string")).collect()
+    parent = lambda f: f.rpartition("/")[0] if f else ""
+    want = [(min(a, b), max(a, b), 0.25) for a, f in files for b, g in files if parent(f) and parent(f) == parent(g) and f < g]
+    assert sorted(map(tuple, got)) == sorted(want) and (5, 5, 0.25) in want
+
+
 def _star(spark, n):
     """Edges from file:0 to n others, from file:1 to file:2 ... and from each of these to a vertex of its own."""
     rows = [("file:0", f"file:{i}", "semantic", 1.0 - i / 1e4) for i in range(1, n + 1)] + [(f"file:{i}", f"file:{i + 10_000}", "semantic", 0.5) for i in range(1, n + 1)]
